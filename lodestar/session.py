@@ -10,9 +10,9 @@ TABLES = (
 )
 
 
-def local_session(cores: int = 4, partitions: int = 4, memory: str = "8g") -> SparkSession:
+def local_session(cores: int = 4, partitions: int = 4, memory: str = "8g", **conf: str) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("lodestar")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -21,8 +21,8 @@ def local_session(cores: int = 4, partitions: int = 4, memory: str = "8g") -> Sp
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    spark = builder.config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
