@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from lodestar.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from lodestar.llm.langid import op7_langid
 from lodestar.llm.packing import op5_packing
 
-QUERIES = {"op5_packing": op5_packing}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op5_packing": op5_packing, "op7_langid": op7_langid}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
