@@ -5,6 +5,14 @@ from __future__ import annotations
 from lodestar.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from lodestar.llm.langid import op7_langid
 from lodestar.llm.packing import op5_packing
+from lodestar.llm.pii import op8_pii
+from lodestar.llm.toxicity import op4_toxicity
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op5_packing": op5_packing, "op7_langid": op7_langid}
+QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op4_toxicity": op4_toxicity,
+    "op5_packing": op5_packing,
+    "op7_langid": op7_langid,
+    "op8_pii": op8_pii,
+}
 ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
