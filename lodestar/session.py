@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -36,3 +40,16 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Register the named tables as temporary views for SQL plans."""
     for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that they need no installation."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{root.name}", "zip", root.parent, root.name)
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(app)
