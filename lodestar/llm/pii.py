@@ -6,9 +6,10 @@ neighbours. It is trained here, from the small labelled table that training_tabl
 forward-backward gradients, and decoded by Viterbi in numpy batches. Its spans are added where they overlap no
 base span.
 
-Most tokens are plain words whose label O no transition can outweigh. Such a token is O on every best path,
-so it splits the chain exactly, and only the short stretches between such tokens are decoded: the result is
-that of decoding whole texts.
+Most tokens are plain words among plain words. For such runs the model itself tells at how many tokens from
+both ends a token is O on the best path whatever stands around the run. Those tokens split the chain exactly, and
+only the stretches between them are decoded: the result is that of decoding whole texts. A span the model adds
+must also look like its kind (signs, digits, check sum).
 
 Every text is read whole, in one pass without a shuffle; the patterns are matched by scans whose cost is
 linear in the text, whatever its digits and signs.
@@ -94,6 +95,7 @@ LABELS = ("o", *KINDS)
 TOKEN = re.compile(r"\S+")
 EDGE_LEFT, EDGE_RIGHT = "\"'<[{#*%$&!|,;:", "\"'>]}#*%$&!|,;:.?"
 KEYS = {w: k for k, ws in {"tel": "tel phone call fax mobile cell dial", "mail": "mail email e-mail contact write", "card": "card visa mastercard amex", "ip": "ip host server address", "at": "at (at) [at]", "dot": "dot (dot) [dot]"}.items() for w in ws.split()}
+CELLS = 60_000
 COARSE = ("edge", "word", "tel", "mail", "card", "ip", "at", "dot", "d1-2", "d3", "d4", "d5+", "(d3)", "d3-d4", "mixed", "tld")
 TLDS = {"com", "org", "net", "edu", "io"}
 _RUN = re.compile(r"[0-9]+|[A-Za-z]+|[^0-9A-Za-z]")
@@ -141,6 +143,8 @@ def features(token: str) -> tuple[str, tuple[str, ...]]:
         names.append("letters-and-digits")
     if shape.count(":") >= 3 and all(c in string.hexdigits + ":" for c in body):
         names.append("colons")
+    if "=" in body:
+        names.append("equals")
     if shape.startswith("+"):
         names.append("plus")
     coarse = "mixed"
@@ -174,9 +178,21 @@ class Crf:
         self._kinds: dict[tuple, int] = {}
         self._coarse: list[int] = []
         self._scores = np.zeros((64, len(LABELS)))
-        # by how much a label at one token can gain on its two sides over O there
-        gain = self.moves[:, :, None] + self.moves[None, :, :] - self.moves[:, :1, None] - self.moves[None, :1, :]
-        self.most_gain = max(float(gain.max()), float((self.moves - self.moves[:, :1]).max()), float((self.moves - self.moves[:1, :]).max()), 0.0)
+        self.margin = self._margin()
+
+    def _margin(self, most: int = 40) -> int | None:
+        """The least h such that a plain word between h plain words on either side is O on every best path,
+        whatever the labels beyond them; None if there is none up to `most`."""
+        word = COARSE.index("word")
+        plain = self.own[self.index["word"]] + self.before[word] + self.after[word]
+        left, right = self.moves + plain[None], self.moves.copy()  # to the word from outside, and from it to outside
+        for h in range(most + 1):
+            ways = left[:, :, None] + right[None, :, :]
+            if (ways[:, :1] > ways[:, 1:] + 1e-6).all():
+                return h
+            left = (left[:, :, None] + (self.moves + plain[None])[None]).max(axis=1)
+            right = ((self.moves + plain[None])[:, :, None] + right[None]).max(axis=1)
+        return None
 
     def __getstate__(self):
         return {k: getattr(self, k) for k in ("index", "own", "before", "after", "moves")}
@@ -210,8 +226,8 @@ class Crf:
         self._coarse.append(COARSE.index(coarse))
         return i
 
-    def emissions(self, tokens: list[str]) -> np.ndarray:
-        """Scores by token and label."""
+    def emissions(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores by token and label, and whether a token is a plain word among plain words."""
         if len(self._kinds) + len(tokens) >= 100_000:
             self._kinds.clear()
             self._coarse.clear()
@@ -225,11 +241,22 @@ class Crf:
             ids.append(i)
         ids = np.array(ids)
         coarse = np.concatenate(([0], np.array(self._coarse)[ids], [0]))
-        return self._scores[ids] + self.before[coarse[:-2]] + self.after[coarse[2:]]
-
-    def stretches(self, scores: np.ndarray) -> list[tuple[int, int]]:
-        """[start, end) of the runs of tokens that are not O for certain."""
-        open_ = scores[:, 0] - scores[:, 1:].max(axis=1) <= self.most_gain
+        word = COARSE.index("word")
+        plain = (coarse[:-2] == word) & (coarse[1:-1] == word) & (coarse[2:] == word)
+        return self._scores[ids] + self.before[coarse[:-2]] + self.after[coarse[2:]], plain
+
+    def stretches(self, plain: np.ndarray) -> list[tuple[int, int]]:
+        """[start, end) of the runs of tokens that are not O for certain; plain: plain words among plain words."""
+        n = len(plain)
+        if self.margin is None:
+            return [(0, n)]
+        odd = np.concatenate(([-1], np.flatnonzero(~plain), [n]))
+        if len(odd) == 2 and n <= 2 * self.margin:
+            return [(0, n)]
+        near = np.zeros(n + 1, dtype=np.int32)  # tokens within the margin of one that isn't plain, or of an end
+        np.add.at(near, np.maximum(odd - self.margin, 0), 1)
+        np.add.at(near, np.minimum(odd + self.margin + 1, n), -1)
+        open_ = np.cumsum(near[:n]) > 0
         edge = np.flatnonzero(np.diff(np.concatenate(([0], open_.astype(np.int8), [0]))))
         return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
@@ -237,8 +264,12 @@ class Crf:
         """Best labels of each stretch. The flags say whether an O stands before it and after it."""
         out: list[np.ndarray] = [np.zeros(0, dtype=int)] * len(batch)
         order = sorted(range(len(batch)), key=lambda i: len(batch[i][0]))
-        for lo in range(0, len(order), 2048):
-            part = order[lo : lo + 2048]
+        lo = 0
+        while lo < len(order):
+            hi = lo + 1  # as many stretches as keep the padded batch small
+            while hi < len(order) and (hi - lo + 1) * len(batch[order[hi]][0]) <= CELLS:
+                hi += 1
+            part, lo = order[lo:hi], hi
             longest = len(batch[part[-1]][0])
             n = np.array([len(batch[i][0]) for i in part])
             e = np.zeros((len(part), longest, len(LABELS)))
@@ -274,8 +305,8 @@ class Crf:
             tokens = text.split()
             if not tokens:
                 continue
-            scores = self.emissions(tokens)
-            for a, b in self.stretches(scores):
+            scores, plain = self.emissions(tokens)
+            for a, b in self.stretches(plain):
                 jobs.append((scores[a:b], a > 0, b < len(tokens)))
                 where.append((k, a))
         labels: dict[int, dict[int, int]] = {}
@@ -303,11 +334,25 @@ def _spans(text: str, at: dict[int, int]) -> list[Span]:
         part = text[start:end]
         start += len(part) - len(part.lstrip(EDGE_LEFT))
         end -= len(part) - len(part.rstrip(EDGE_RIGHT))
-        if start < end:
+        if label == 1 and (m := re.search(r"[^\s@]+(?:\s*[(\[]at[)\]]|\s+at\s)", text[start:end], re.I)):
+            start += m.start()  # an address has one word before its sign
+        if start < end and plausible(KINDS[label - 1], text[start:end]):
             spans.append((KINDS[label - 1], start, end))
     return spans
 
 
+def plausible(kind: str, part: str) -> bool:
+    """What any span of the kind has, whatever its words."""
+    digits = "".join(c for c in part if "0" <= c <= "9")
+    if kind == "email":
+        return bool(re.search(r"\w\s*(@|[(\[]at[)\]]|\sat\s)\s*\w.*\w\s*(\.|[(\[]dot[)\]]|\sdot\s)\s*\w", part, re.I | re.S))
+    if kind == "ip":
+        return part.count(":") >= 3 and re.fullmatch(r"[0-9A-Fa-f:]+", part) is not None or part.count(".") == 3
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    return 7 <= len(digits) <= 15 and not re.search(r"[A-Za-z]", part)
+
+
 def _tokens(text: str) -> Iterator[tuple[int, int]]:
     """Offsets of the tokens that str.split() gives."""
     at = 0
@@ -361,7 +406,8 @@ def training_table(n: int = 900, seed: int = 11) -> list[tuple[list[str], list[s
             lambda: f"{d(1)}.{d(1)}", lambda: f"v{d(1)}.{d(2)}.{d(1)}", lambda: f"{d(1)}.{d(1)}.{d(1)}", lambda: f"19{d(2)}", lambda: d(3), lambda: d(4), lambda: d(2), lambda: d(7), lambda: d(10), lambda: d(12), lambda: d(16) + "1", lambda: d(24),
             lambda: "".join(rnd.choices("0123456789abcdef", k=rnd.choice([8, 16, 32, 40]))), lambda: f'"{"".join(rnd.choices("0123456789abcdef", k=40))}"', lambda: f"#{d(5)}", lambda: f"{d(3)}-{d(3)}", lambda: f"{d(2)}-{d(2)}", lambda: f"({d(4)})", lambda: f"({d(1)})",
             lambda: f"{d(3)}-{d(4)}", lambda: f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", lambda: f"{d(3)},{d(3)}", lambda: f"{d(2)}%", lambda: f"{word()}_{d(2)}", lambda: f"{d(3)}.{d(2)}", lambda: f"@{rnd.choice(parts)}{rnd.choice(parts)}", lambda: "=", lambda: "|", lambda: f"http://{rnd.choice(parts)}.org/{d(3)}",
-            lambda: f"337-{d(4)}", lambda: f"{d(3)}.{d(3)}", lambda: f"({d(3)})", lambda: f"{d(3)} {d(3)}", lambda: f"{d(1)} {d(4)} {d(2)}", lambda: f"at {word()}", lambda: f"a dot {word()}", lambda: f"card {d(3)}", lambda: f"call {word()}", lambda: f"tel {word()}", lambda: f"address {d(3)}", lambda: rnd.choice(["at", "dot", "com", "mail", "ip", "card", "server"]),
+            lambda: f"337-{d(4)}", lambda: f"{d(3)}.{d(3)}", lambda: f"({d(3)})", lambda: f"{d(3)} {d(3)}", lambda: f"{d(1)} {d(4)} {d(2)}", lambda: f"at {word()}", lambda: f"a dot {word()}", lambda: f"card {d(3)}", lambda: f"call {word()}", lambda: f"tel {word()}", lambda: f"address {d(3)}", lambda: rnd.choice(["at", "dot", "com", "mail", "ip", "card", "server"]), lambda: f"at {word()} at {word()}", lambda: "at at at", lambda: f"at {word()} dot",
+            lambda: f"password={''.join(rnd.choices('0123456789abcdef', k=18))}", lambda: f"{rnd.choice(parts)}={d(4)}", lambda: f"{word()} at {word()} of", lambda: f"{word()} at at {word()}",
         ])()
 
     kinds = {"email": email, "ip": ip, "card": card_text, "phone": phone}
@@ -397,8 +443,8 @@ def train(steps: int = 160, rate: float = 0.15, ridge: float = 2e-4) -> Crf:
     seen = [[features(t) for t in tokens] for tokens, _ in table]
     index = {name: i for i, name in enumerate(sorted({x for s in seen for _, names in s for x in names}))}
     n, width, k = len(table), max(len(s) for s in seen), len(LABELS)
-    x = np.zeros((n, width, len(index)), dtype=np.float32)
-    ctx = np.zeros((n, width, 2 * len(COARSE)), dtype=np.float32)
+    x = np.zeros((n, width, len(index)))
+    ctx = np.zeros((n, width, 2 * len(COARSE)))
     mask = np.zeros((n, width), dtype=bool)
     y = np.zeros((n, width), dtype=int)
     for i, (s, (_, labels)) in enumerate(zip(seen, table, strict=True)):
@@ -407,7 +453,7 @@ def train(steps: int = 160, rate: float = 0.15, ridge: float = 2e-4) -> Crf:
             x[i, t, [index[name] for name in names]] = 1
             ctx[i, t, coarse[t]] = ctx[i, t, len(COARSE) + coarse[t + 2]] = 1
             mask[i, t], y[i, t] = True, LABELS.index(labels[t])
-    inputs = np.concatenate([x, ctx], axis=2).reshape(n * width, -1)
+    inputs = np.concatenate([x, ctx], axis=2)[mask]
     gold = np.eye(k)[y] * mask[:, :, None]
     both = mask[:, 1:]
     gold_moves = np.einsum("bti,btj->ij", gold[:, :-1] * both[:, :, None], gold[:, 1:])
@@ -419,7 +465,8 @@ def train(steps: int = 160, rate: float = 0.15, ridge: float = 2e-4) -> Crf:
         return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
     for step in range(1, steps + 1):
-        e = (inputs @ weights).reshape(n, width, k)
+        e = np.zeros((n, width, k))
+        e[mask] = inputs @ weights
         alpha, beta = np.zeros((n, width, k)), np.zeros((n, width, k))
         alpha[:, 0] = e[:, 0]
         for t in range(1, width):
@@ -429,7 +476,7 @@ def train(steps: int = 160, rate: float = 0.15, ridge: float = 2e-4) -> Crf:
             beta[:, t] = np.where(mask[:, t + 1, None], lse(moves[None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2), beta[:, t + 1])
         p = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
         pair = np.exp(alpha[:, :-1, :, None] + moves[None, None] + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * both[:, :, None, None]
-        for j, (w, grad) in enumerate(((weights, inputs.T @ (gold - p).reshape(n * width, k) / n - ridge * weights), (moves, (gold_moves - pair.sum(axis=(0, 1))) / n - ridge * moves))):
+        for j, (w, grad) in enumerate(((weights, inputs.T @ (gold - p)[mask] / n - ridge * weights), (moves, (gold_moves - pair.sum(axis=(0, 1))) / n - ridge * moves))):
             m, v = state[2 * j], state[2 * j + 1]
             m += 0.1 * (grad - m)
             v += 0.001 * (grad**2 - v)
