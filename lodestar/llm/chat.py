@@ -175,3 +175,36 @@ def traffic_of(conversations: DataFrame) -> DataFrame:
 
 def op10_chat(spark, sf_dir: str) -> DataFrame:
     return link(traffic_of(read_table(spark, sf_dir, "conversations")), [ASK])
+
+
+OP10_SQL = """
+WITH m AS (
+  SELECT conv_id, turn, role, text, role = 'user' AS is_call, role = 'assistant' AS is_result,
+         CASE WHEN role = 'user' THEN 't' || CAST(turn AS VARCHAR) WHEN role = 'assistant' THEN 't' || CAST(turn - 1 AS VARCHAR) END AS id
+  FROM conversations),
+calls AS (SELECT * FROM m WHERE is_call), results AS (SELECT * FROM m WHERE is_result),
+joined AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.id, r.id) AS call_id, coalesce(c.turn, r.turn) AS turn, CASE WHEN c.id IS NOT NULL THEN r.turn END AS result_turn,
+         c.id IS NOT NULL AS is_call, c.text AS query, r.text AS result,
+         CASE WHEN c.id IS NULL THEN 'orphan' WHEN r.id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+         c.turn >= 2 AND NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 2) AS lacks
+  FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.id = r.id),
+every AS (
+  SELECT conv_id, call_id, status, turn, result_turn, is_call,
+    CASE WHEN is_call THEN concat_ws('; ',
+      CASE WHEN length(query) > 2000 THEN 'length: over 2000' WHEN length(query) < 1 THEN 'length: under 1' END,
+      CASE WHEN length(query) > 400 THEN 'query: longer than 400' END,
+      CASE WHEN lacks THEN 'after: unknown t' || CAST(turn - 2 AS VARCHAR) END) END AS errors,
+    '{' || concat_ws(',',
+      CASE WHEN is_call THEN '"arguments":{"length":' || CAST(length(query) AS VARCHAR) || ',"query":' || CAST(to_json(query) AS VARCHAR) || '}' END,
+      '"id":' || CAST(to_json(call_id) AS VARCHAR), CASE WHEN is_call THEN '"name":"ask"' END, '"result":' || CAST(to_json(result) AS VARCHAR),
+      '"status":"' || status || '"', '"turn":' || CAST(turn AS VARCHAR)) || '}' AS line
+  FROM joined
+  UNION ALL
+  SELECT conv_id, NULL, 'message', turn, NULL, FALSE, NULL,
+    '{' || concat_ws(',', '"content":' || CAST(to_json(text) AS VARCHAR), '"status":"message"', '"turn":' || CAST(turn AS VARCHAR)) || '}'
+  FROM m WHERE NOT is_call AND NOT is_result)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, CASE WHEN is_call THEN 0 ELSE 1 END, call_id NULLS LAST, line) AS INT) AS position,
+  call_id, status, turn, result_turn, CASE WHEN is_call THEN errors = '' END AS valid, errors, line
+FROM every
+"""

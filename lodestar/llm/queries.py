@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from lodestar.llm.chat import OP10_SQL, op10_chat
 from lodestar.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from lodestar.llm.langid import op7_langid
 from lodestar.llm.packing import op5_packing
 from lodestar.llm.pii import op8_pii
+from lodestar.llm.topk import OP6_SQL, op6_topk
 from lodestar.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
+    "op6_topk": op6_topk,
     "op7_langid": op7_langid,
     "op8_pii": op8_pii,
+    "op10_chat": op10_chat,
 }
-ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op6_topk": OP6_SQL, "op10_chat": OP10_SQL}
