@@ -5,6 +5,7 @@ from __future__ import annotations
 from lodestar.llm.chat import OP10_SQL, op10_chat
 from lodestar.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from lodestar.llm.langid import op7_langid
+from lodestar.llm.minhash import op9_minhash
 from lodestar.llm.packing import op5_packing
 from lodestar.llm.pii import op8_pii
 from lodestar.llm.topk import OP6_SQL, op6_topk
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_topk": op6_topk,
     "op7_langid": op7_langid,
     "op8_pii": op8_pii,
+    "op9_minhash": op9_minhash,
     "op10_chat": op10_chat,
 }
 ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op6_topk": OP6_SQL, "op10_chat": OP10_SQL}
