@@ -1,19 +1,52 @@
-"""Corpus preparation: each stage reads what the one before it kept."""
+"""Corpus preparation: each stage reads what the one before it kept.
+
+Language ID lets documents go whose language is unknown; exact dedup and near-dedup keep one document of each
+group; personal data is blanked in the texts; what is left is packed into training sequences. Every stage is
+given the documents as a table and returns one; between stages they are written to the shared folder.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestar.llm import exact_dedup, langid, minhash, packing, pii
 from lodestar.llm.common import materialize, read_table
-from lodestar.llm.packing import digest, pack
+from lodestar.session import ship
+
+#: The least share of n-grams that the language's filter must hold. Clean documents lie far above.
+LEAST_SCORE = 0.2
+
+
+def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the corpus's own labels teach."""
+    ship(spark)
+    return langid.keep_known(docs, "text", langid.learn(docs, "doc_id", "text", "lang"), LEAST_SCORE)
+
+
+def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id."""
+    return exact_dedup.drop_copies(docs, "doc_id", "text")
+
+
+def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 on five-word shingles the one with the smallest id."""
+    ship(spark)
+    return minhash.keep_one(docs, "doc_id", "text")
+
+
+def stage_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; n_chars follows the text."""
+    ship(spark)
+    return pii.redact(docs, "text", "n_chars")
 
 
 def stage_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 ids from everything that is left."""
-    return digest(pack(docs, "doc_id", "text"))
+    """Pieces of sequences of at most 1024 ids."""
+    ship(spark)
+    return packing.digest(packing.pack(docs, "doc_id", "text"))
 
 
-STAGES = [("packing", stage_pack)]
+STAGES = [("language", stage_language), ("exact", stage_exact), ("near", stage_near), ("private", stage_private), ("packing", stage_pack)]
 
 #: Language, similarity and tokenizer stages are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -24,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = materialize(docs, f"pipeline-{i}-{name}")
+            docs = materialize(docs, f"pipeline-{name}")
     return docs

@@ -166,6 +166,22 @@ def predict(docs: DataFrame, text: str, filters: Filters, keep: list[str]) -> Da
     return out.toDF(*[f.name for f in schema.fields])
 
 
+def keep_known(docs: DataFrame, text: str, filters: Filters, least: float) -> DataFrame:
+    """The rows of docs, all columns as they were, whose language is known with a score of `least` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    names = docs.columns
+    at = names.index(text)
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            said = (model.predict(t.as_py()) for t in batch.column(at))
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in said], pa.bool_()))
+
+    return inner.mapInArrow(run, inner.schema).toDF(*names)
+
+
 def op7_langid(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     fold3 = fold(F.col("doc_id"), 3)
