@@ -8,10 +8,12 @@ a chance of about 3 in a million. Candidates within the threshold are confirmed
 
 Nothing pairs up the members of a group. Documents of equal sets are one node. A key's bucket of two gives its
 pair. Larger buckets, dealt out in blocks of bounded size, first give a least spanning forest by signature
-distance: as many pairs as members. These are confirmed and joined into components. Only then, and only
-where members of a bucket still lie in different components, are the other pairs within the threshold confirmed;
-of a bucket beyond a block, its largest component's members stay in their own blocks and the others visit all.
-So every pair within the threshold is either confirmed or already connected: no link between components is lost.
+distance: as many pairs as members. These are confirmed and joined into components. Only where members of a
+bucket still lie in different components are their full sets brought together, block by block, and the other
+pairs within the threshold compared there; what leaves a block are the links that join components. Of the
+buckets two members share only the first compares them; of a bucket beyond a block, its largest component's
+members stay in their own blocks and the others visit all. So every pair within the threshold is either compared
+on full sets or already connected: no link between components is lost.
 
 Components come from label propagation with pointer jumping over tables in the shared folder; neither links
 nor labels reach the driver.
@@ -188,14 +190,40 @@ def forest(nids: np.ndarray, sigs: np.ndarray, most: int) -> list[tuple[int, int
     return out
 
 
-def across(nids: np.ndarray, sigs: np.ndarray, comps: np.ndarray, home: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Pairs within most whose components differ; of two visitors to a block only in the home of the smaller id."""
+def open_pairs(sigs: np.ndarray, keys: np.ndarray, key: int, sizes: np.ndarray, comps: np.ndarray, home: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js): pairs of a bucket's members that may still link two components. Of all the buckets that two members
+    share only the first takes the pair, and of the blocks only one: that where one of them is at home, the
+    smaller of two visitors'. comps may change between steps."""
+    place = int(np.flatnonzero(keys[0] == key)[0])
+    for i in range(len(sigs) - 1):
+        js = np.flatnonzero((comps[i + 1 :] != comps[i]) & (home[i + 1 :] | home[i])) + i + 1
+        js = js[np.minimum(sizes[js], sizes[i]) * 100 >= np.maximum(sizes[js], sizes[i]) * 80]
+        if place and len(js):
+            js = js[~(keys[js, :place] == keys[i, :place]).any(axis=1)]
+        if len(js):
+            js = js[(sigs[js] != sigs[i]).sum(axis=1) <= most]
+        if len(js):
+            yield i, js
+
+
+def connect(members: list[np.ndarray], comps: np.ndarray, pairs: Iterator[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+    """The links among the pairs that join components, on full sets; comps is brought up to date on the way."""
+    counts = np.array([len(m) for m in members])
+    where = np.concatenate(([0], np.cumsum(counts)))
+    flat = np.unique(np.concatenate(members), return_inverse=True)[1]
+    mark = np.zeros(flat.max() + 1, dtype=bool)
     out = []
-    for i in range(len(nids) - 1):
-        other = np.flatnonzero((comps[i + 1 :] != comps[i]) & (home[i + 1 :] | home[i])) + i + 1
-        if len(other):
-            other = other[(sigs[other] != sigs[i]).sum(axis=1) <= most]
-            out += [(int(nids[i]), int(nids[j])) for j in other]
+    for i, js in pairs:
+        mine = flat[where[i] : where[i + 1]]
+        mark[mine] = True
+        owner = np.repeat(np.arange(len(js)), counts[js])
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(counts[js]) - counts[js], counts[js]) + where[js][owner]
+        shared = np.bincount(owner, weights=mark[flat[at]], minlength=len(js)).astype(np.int64)
+        mark[mine] = False
+        for j in js[100 * shared >= 80 * (counts[i] + counts[js] - shared)].tolist():
+            if comps[j] != comps[i]:
+                out.append((i, j))
+                comps[comps == comps[j]] = comps[i]
     return out
 
 
@@ -237,22 +265,27 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame, index: Index) -> DataFrame:
 # ---- confirmation and components
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """u, v: the nodes of the pairs with 100 * intersection >= 80 * union, on full sets made again from the texts."""
-    wanted = pairs.select(F.col("a").alias("nid")).union(pairs.select(F.col("b").alias("nid"))).distinct()
+def sets_of(nids: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """nid, node, members: the full sets of some nodes, made again from one text of each."""
     no_id = -(1 << 63)
-    at = nodes.join(wanted, "nid").select("nid", F.coalesce("id", F.lit(no_id)).alias("id"), "t").distinct()
+    at = nodes.join(nids, "nid").select("nid", F.coalesce("id", F.lit(no_id)).alias("id"), "t").distinct()
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(no_id)).alias("id"), text_or_empty(F.col(text)).alias("text")).withColumn("t", F.xxhash64("text"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
             for lo in range(0, batch.num_rows, 500):
                 made = [shingles(t.as_py(), width).tobytes() for t in texts.slice(lo, 500)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 500), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in made], pa.binary()), pa.array(made, pa.binary())], names=["nid", "node", "members"])
 
-    made = rows.join(at, ["id", "t"]).select("nid", "text").mapInArrow(sets, "nid long, node binary, members binary")
-    full = made.groupBy("nid", "node").agg(F.first("members").alias("members"))
+    made = rows.join(at, ["id", "t"]).select("nid", "text").mapInArrow(make, "nid long, node binary, members binary")
+    return made.groupBy("nid", "node").agg(F.first("members").alias("members"))
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """u, v: the nodes of the pairs with 100 * intersection >= 80 * union, on full sets."""
+    wanted = pairs.select(F.col("a").alias("nid")).union(pairs.select(F.col("b").alias("nid"))).distinct()
+    full = sets_of(wanted, nodes, docs, key, text, width)
     side = lambda c, x: full.select(F.col("nid").alias(c), F.col("node").alias(x), F.col("members").alias(f"m{c}"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,8 +346,8 @@ def cluster(docs: DataFrame, key: str, text: str, width: int = 5, index: Index =
     links = materialize(confirmed(tried, nodes, docs, key, text, width), "confirmed")
     comp = components(links)
 
-    # then the pairs that components still leave open
-    known = nodes.join(comp, "node", "left").select("nid", F.xxhash64(F.coalesce("comp", "node")).alias("comp"))
+    # then what components still leave open: members of a bucket that may link two of them
+    known = nodes.join(comp, "node", "left").select("nid", "n", F.xxhash64(F.coalesce("comp", "node")).alias("comp"))
     placed = dealt.join(known, "nid").join(large, "key")
     unsettled = placed.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("open")).filter("open").select("key")
     counts = placed.filter(F.col("size") > block).groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
@@ -323,17 +356,39 @@ def cluster(docs: DataFrame, key: str, text: str, width: int = 5, index: Index =
     blocks = F.ceil(F.col("size") / block).cast("int")
     stays = (F.col("size") <= block) | F.col("comp").eqNullSafe(F.col("main"))
     visits = F.when(stays, F.array("part")).otherwise(F.sequence(F.lit(0), blocks - 1))
-    seen = asked.select("key", "nid", "sig", "comp", F.col("part").alias("home"), F.explode(visits).alias("part"))
+    seen = asked.select("key", "nid", "sig", "n", "comp", F.col("part").alias("home"), F.explode(visits).alias("part"))
+
+    def pairs_of(group: pd.DataFrame) -> tuple[np.ndarray, Iterator[tuple[int, np.ndarray]]]:
+        sigs = matrix(group.sig, index.symbols)
+        comps = group.comp.to_numpy().copy()
+        return comps, open_pairs(sigs, index.keys(sigs), group.key.iloc[0], group.n.to_numpy(), comps, (group.home == group.part).to_numpy(), index.threshold)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _grouped(batches, ["key", "part"]):
             if group.comp.nunique() > 1:
-                yield _pairs(across(group.nid.to_numpy(), matrix(group.sig, index.symbols), group.comp.to_numpy(), (group.home == group.part).to_numpy(), index.threshold))
+                needed = np.zeros(len(group), dtype=bool)
+                for i, js in pairs_of(group)[1]:
+                    needed[i] = needed[js] = True
+                if needed.any():
+                    yield group[needed]
 
-    rest = seen.repartition("key", "part").sortWithinPartitions("key", "part", "nid").mapInPandas(meet, "a long, b long")
-    rest = materialize(rest.distinct().join(tried, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = confirmed(rest, nodes, docs, key, text, width)
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _grouped(batches, ["key", "part"]):
+            comps, pairs = pairs_of(group)
+            sets = [np.frombuffer(m, dtype=np.uint64) for m in group.members]
+            found = connect(sets, comps, pairs)
+            if found:
+                names = group.node.to_numpy()
+                yield pd.DataFrame({"u": [names[i] for i, _ in found], "v": [names[j] for _, j in found]})
+
+    columns = "key long, nid long, sig binary, n long, comp long, home int, part int"
+    order = ["key", "part", "nid"]
+    active = seen.repartition("key", "part").sortWithinPartitions(*order).mapInPandas(meet, columns)
+    active = materialize(active, "active")
+    if not active.isEmpty():
+        full = sets_of(active.select("nid").distinct(), nodes, docs, key, text, width)
+        loaded = active.join(full, "nid").repartition("key", "part").sortWithinPartitions(*order)
+        more = loaded.mapInPandas(settle, "u binary, v binary")
         comp = components(materialize(links.union(more), "confirmed"))
 
     joined = nodes.select("node", "id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

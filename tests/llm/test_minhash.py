@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from lodestar.llm.minhash import Index, across, cluster, components, forest, keep_one, op9_minhash, shingles
+from lodestar.llm.minhash import Index, cluster, components, connect, forest, keep_one, op9_minhash, open_pairs, shingles
 
 
 def plain_set(text, width):
@@ -73,11 +73,32 @@ def test_every_pair_within_the_threshold_meets():
         assert np.isin(ka, kb).any()
 
 
-def test_forest_and_across():
+def test_forest():
     sig = np.array([[0] * 4, [0, 0, 0, 1], [0, 0, 1, 1], [9, 9, 9, 9]], dtype="<u2")
     assert forest(np.array([10, 11, 12, 13]), sig, 2) == [(10, 11), (11, 12)]
-    comps, home = np.array([1, 1, 2, 3]), np.array([True] * 4)
-    assert across(np.array([10, 11, 12, 13]), sig, comps, home, 2) == [(10, 12), (11, 12)]
+
+
+def test_each_open_pair_is_taken_by_one_bucket():
+    index, rng = Index(), np.random.default_rng(2)
+    sigs = np.repeat(rng.integers(0, 1 << 16, (1, index.symbols)), 12, axis=0).astype("<u2")
+    for row in sigs:
+        row[rng.choice(index.symbols, 9, replace=False)] ^= 7
+    keys, taken = index.keys(sigs), {}
+    for key in np.unique(keys):
+        rows = np.flatnonzero((keys == key).any(axis=1))
+        if len(rows) > 1:
+            for i, js in open_pairs(sigs[rows], keys[rows], key, np.full(len(rows), 50), rows.copy(), np.ones(len(rows), dtype=bool), index.threshold):
+                for j in js.tolist():
+                    taken[int(rows[i]), int(rows[j])] = taken.get((int(rows[i]), int(rows[j])), 0) + 1
+    within = {(i, j) for i in range(12) for j in range(i + 1, 12) if (sigs[i] != sigs[j]).sum() <= index.threshold}
+    assert taken == dict.fromkeys(within, 1)
+
+
+def test_connect_gives_links_that_join_components():
+    sets = [np.arange(0, 10, dtype=np.uint64), np.arange(1, 11, dtype=np.uint64), np.arange(2, 12, dtype=np.uint64), np.arange(50, 60, dtype=np.uint64)]
+    comps = np.array([1, 2, 3, 4])
+    pairs = ((i, np.arange(i + 1, 4)) for i in range(3))
+    assert connect(sets, comps, pairs) == [(0, 1), (1, 2)] and comps[0] == comps[1] == comps[2] != comps[3]
 
 
 def test_components_of_a_long_chain(spark):
