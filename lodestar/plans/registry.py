@@ -95,4 +95,4 @@ def frame_query(name: str, run: Callable[[SparkSession, str], DataFrame], oracle
         ORACLES[name] = expand(oracle, 1)
 
 
-from lodestar.plans import boards, ingest, ordered, scalars  # noqa: E402,F401
+from lodestar.plans import boards, domain, ingest, ordered, scalars  # noqa: E402,F401
