@@ -27,9 +27,11 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +40,11 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import read_table
 
-UNIT = re.compile(r"\n| *[^ \n]+| +")
 MARK = "▁"
-WITH_MARKS = re.compile(rf"\n|{MARK}| *[^ \n{MARK}]+| +")
 #: Stands for a literal mark inside the lattice: a lone surrogate, which no text holds and no model has a piece for.
 LITERAL = "\ud800"
-SLICE = 2_000_000
+UNIT = re.compile(f"\n|{LITERAL}|{MARK}*[^{MARK}\n{LITERAL}]+|{MARK}+")
+SLICE = 4_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
@@ -53,10 +54,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def streams(seed: np.ndarray, sample: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A stream of random bits for each (seed, sample, word)."""
+    return mix(seed ^ (word.astype(np.uint64) * _A + (sample.astype(np.uint64) + np.uint64(1)) * _B))
+
+
+def draw(stream: np.ndarray, step: int) -> np.ndarray:
+    """The stream's 64 bits at a step."""
+    return mix(stream + np.uint64((step + 1) * int(_A) % (1 << 64)))
+
+
 def noise(seed: np.ndarray, sample: int, word: np.ndarray, step: int) -> np.ndarray:
     """64 random bits for each (seed, sample, word, step)."""
-    where = (word.astype(np.uint64) * np.uint64(4096) + np.uint64(step % 4096)) * _A + np.uint64((sample * 131 + step // 4096 + 1) * int(_B) % (1 << 64))
-    return mix(mix(seed ^ where) + _A)
+    return draw(streams(seed, np.full(1, sample), word), step)
 
 
 def uniform(bits: np.ndarray) -> np.ndarray:
@@ -79,6 +89,24 @@ class Vocabulary:
     longest: int
     first_byte: int
 
+    def __post_init__(self):
+        top = (self.keys >> np.uint64(46)).astype(np.int64)
+        self.bucket = np.searchsorted(top, np.arange((1 << 18) + 1))  # keys are sorted: where each bucket of them begins
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash among the keys, or -1."""
+        top = (h >> np.uint64(46)).astype(np.int64)
+        at, end = self.bucket[top], self.bucket[top + 1]
+        out = np.full(len(h), -1)
+        todo = np.flatnonzero(at < end)
+        at, end = at[todo], end[todo]
+        while len(todo):
+            same = self.keys[at] == h[todo]
+            out[todo[same]] = at[same]
+            more = ~same & (at + 1 < end)
+            todo, at, end = todo[more], at[more] + 1, end[more]
+        return out
+
     @staticmethod
     @functools.lru_cache(maxsize=2)
     def load(name: str, alpha: float) -> Vocabulary:
@@ -126,8 +154,8 @@ class Lattice:
         found, single = [], np.zeros(n, dtype=bool)
         while len(todo) and size <= vocab.longest:
             h = extend(np.zeros(len(todo), dtype=np.uint64) if h is None else h, cp[todo + size - 1])
-            at = np.minimum(np.searchsorted(vocab.keys, h), len(vocab.keys) - 1)
-            known = vocab.keys[at] == h
+            at = vocab.find(h)
+            known = at >= 0
             ids = np.where(known, vocab.ids[at], -1)
             real = ids >= 0
             found.append((todo[real], size, ids[real]))
@@ -138,24 +166,22 @@ class Lattice:
             size += 1
         lone = np.flatnonzero(~single & (np.arange(n) < end))
         code = cp[lone].astype(np.int64)
-        found.append((lone, 1, len(vocab.pieces) + code))  # the character's bytes, as one step
+        # the character's bytes, as one step; a single byte is a piece of its own
+        found.append((lone, 1, np.where(code < 0x80, vocab.first_byte + code, len(vocab.pieces) + code)))
         counts = np.bincount(np.concatenate([f[0] for f in found]), minlength=n)
         self.begin = np.concatenate(([0], np.cumsum(counts)))
         total = int(self.begin[-1])
-        self.label, self.to = np.empty(total, dtype=np.int64), np.empty(total, dtype=np.int64)
-        self.source = np.repeat(np.arange(n), counts)
+        self.label, self.to = np.empty(total, dtype=np.int32), np.empty(total, dtype=np.int32)
+        self.source = np.repeat(np.arange(n, dtype=np.int32), counts)
         fill = self.begin[:-1].copy()
         for where, size, ids in reversed(found):  # long pieces first
             self.label[fill[where]], self.to[fill[where]] = ids, where + size
             fill[where] += 1
         byte = vocab.weights[vocab.first_byte]
         width = 1 + (code > 0x7F).astype(int) + (code > 0x7FF) + (code > 0xFFFF)
-        weight = np.empty(total)
-        is_piece = self.label < len(vocab.pieces)
-        weight[is_piece] = vocab.weights[self.label[is_piece]]
-        lookup = np.zeros(n)
-        lookup[lone] = width * byte
-        weight[~is_piece] = lookup[self.source[~is_piece]]
+        weight = vocab.weights.take(self.label, mode="clip")
+        odd = np.flatnonzero(self.label >= len(vocab.pieces))
+        weight[odd] = (width * byte)[np.searchsorted(lone, self.source[odd])]
         # backward pass, by distance from the word's end
         left = end - np.arange(n)
         order = np.argsort(left, kind="stable")
@@ -170,13 +196,17 @@ class Lattice:
         self.logp = weight + self.mass[self.to] - self.mass[self.source]
         # cumulative shares, in 32 bits
         p, share = np.exp(self.logp), np.zeros(total)
-        rank = np.arange(total) - self.begin[:-1][self.source]
-        for r in range(int(rank.max(initial=-1)) + 1):
-            e = np.flatnonzero(rank == r)
-            share[e] = p[e] + (share[e - 1] if r else 0)
-        self.share = np.minimum(np.floor(share * 2.0**32), 2.0**32 - 1).astype(np.uint64)
-        lasts = self.begin[1:][counts > 0] - 1
-        self.share[lasts] = np.uint64(2**32 - 1)
+        nodes = np.flatnonzero(counts)
+        so_far, r = np.zeros(len(nodes)), 0
+        while len(nodes):
+            e = self.begin[nodes] + r
+            so_far = so_far + p[e]
+            share[e] = so_far
+            r += 1
+            more = counts[nodes] > r
+            nodes, so_far = nodes[more], so_far[more]
+        self.share = np.minimum(np.floor(share * 2.0**32), 2.0**32 - 1).astype(np.uint32)
+        self.share[self.begin[1:][counts > 0] - 1] = 2**32 - 1
 
     def edges_of(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(edges, index of each one's node, first edge's index of each node) of nodes that have edges."""
@@ -185,13 +215,13 @@ class Lattice:
         starts = np.cumsum(counts) - counts
         return np.arange(len(owner)) - starts[owner] + self.begin[nodes][owner], owner, starts
 
-    def descend(self, nodes: np.ndarray, seeds: np.ndarray, sample: int, words: np.ndarray, step: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    def descend(self, nodes: np.ndarray, seeds: np.ndarray, sample: np.ndarray, words: np.ndarray, step: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(index, edge) of the steps from each node to its word's end, in order of index and step."""
         active = np.flatnonzero(self.begin[nodes + 1] > self.begin[nodes])
         at, who, edges = nodes[active], [], []
-        seeds, words = seeds[active], words[active]
+        stream = streams(seeds, sample, words)[active]
         while len(active):
-            u = noise(seeds, sample, words, step) >> np.uint64(32)
+            u = (draw(stream, step) >> np.uint64(32)).astype(np.uint32)
             e = self.begin[at]
             behind = np.flatnonzero(u > self.share[e])
             while len(behind):
@@ -200,14 +230,19 @@ class Lattice:
             who.append(active)
             edges.append(e)
             at = self.to[e]
-            more = self.begin[at + 1] > self.begin[at]
-            active, at, seeds, words = active[more], at[more], seeds[more], words[more]
+            more = np.flatnonzero(self.begin[at + 1] > self.begin[at])
+            active, at, stream = active[more], at[more], stream[more]
             step += 1
         if not who:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        who_, edges_ = np.concatenate(who), np.concatenate(edges)
-        order = np.argsort(who_, kind="stable")
-        return who_[order], edges_[order]
+        counts = np.zeros(len(nodes), dtype=np.int64)
+        for w in who:
+            counts[w] += 1
+        starts = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), dtype=np.int64)
+        for i, (w, e) in enumerate(zip(who, edges, strict=True)):
+            out[starts[w] + i] = e
+        return np.repeat(np.arange(len(nodes)), counts), out
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
         """Piece ids of a sequence of edges."""
@@ -235,8 +270,8 @@ class Sample:
 
 def samples(texts: list[str], seeds: np.ndarray, k: int, vocab: Vocabulary) -> list[tuple[list[tuple[np.ndarray, float, float]], float]]:
     """For each text its samples as (ids, logp, perturbed value), best first, and kappa."""
-    index: dict[str, int] = {}
-    words = [np.array([index.setdefault(u, len(index)) for u in split_words(t)], dtype=np.int64) if t else np.zeros(0, dtype=np.int64) for t in texts]
+    index: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+    words = [np.fromiter(map(index.__getitem__, split_words(t)), dtype=np.int64) if t else np.zeros(0, dtype=np.int64) for t in texts]
     if not index:
         return [([(np.zeros(0, dtype="<u2"), 0.0, 0.0)], -np.inf) for _ in texts]
     lattice = Lattice(list(index), vocab)
@@ -249,7 +284,7 @@ def samples(texts: list[str], seeds: np.ndarray, k: int, vocab: Vocabulary) -> l
         root = -np.log(-np.log(uniform(noise(seeds, 0, np.zeros(len(texts), dtype=np.int64), 4095))))
 
     # the first samples, all texts at once
-    who, edges = lattice.descend(lattice.first[units], seeds[text_of], 0, word_of)
+    who, edges = lattice.descend(lattice.first[units], seeds[text_of], np.zeros(1, dtype=np.int64), word_of)
     step_logp = lattice.logp[edges]
     unit_logp = np.bincount(who, weights=step_logp, minlength=len(units))
     running = np.cumsum(unit_logp)
@@ -260,75 +295,102 @@ def samples(texts: list[str], seeds: np.ndarray, k: int, vocab: Vocabulary) -> l
     keys = gumbel_below(differs, root[text_of], u)
     edge_at = np.concatenate(([0], np.cumsum(np.bincount(who, minlength=len(units)))))
 
-    out = []
+    states: list[Search | None] = []
     for i in range(len(texts)):
         lo, hi = offset[i], offset[i + 1]
         if lo == hi:
-            out.append(([(np.zeros(0, dtype="<u2"), 0.0, float(root[i]))], -np.inf))
+            states.append(None)
             continue
         mine = edges[edge_at[lo] : edge_at[hi]]
         first = Sample(mine, np.repeat(np.arange(hi - lo), edge_at[lo + 1 : hi + 1] - edge_at[lo:hi]), float(unit_logp[lo:hi].sum()), float(root[i]))
-        found = [first]
-        best = np.argpartition(-keys[lo:hi], min(k, hi - lo - 1))[: k + 1] if hi - lo > k else np.arange(hi - lo)
-        # the frontier: (-value, turn, kind, sample, word, step, edge); step 0 .. : differs in that word from that step on
-        heap, turn = [], 0
-        for w in best.tolist():
-            if np.isfinite(keys[lo + w]):
-                heap.append((-float(keys[lo + w]), turn, "word", first, w, 0, 0))
-                turn += 1
-        heapq.heapify(heap)
-        while heap and len(found) < k:
-            value, _, kind, s, w, step, edge = heapq.heappop(heap)
-            value = -value
-            start = int(np.searchsorted(s.words, w))
-            stop = int(np.searchsorted(s.words, w, side="right"))
-            head = np.concatenate(([0.0], np.cumsum(lattice.logp[s.edges[:stop]])))
-            salt = len(found) * 64 + turn
-            if kind == "word":
-                # tell the children apart: one keeps the value, the others draw below it
-                nodes = lattice.source[s.edges[start + step : stop]]
-                others, owner, _ = lattice.edges_of(nodes)
-                keep = others != s.edges[start + step : stop][owner]
-                others, owner = others[keep], owner[keep]
-                place = head[start + step + owner] + lattice.logp[others]
-                seed = np.full(len(others), seeds[i])
-                pick = int(np.argmax(place - np.log(-np.log(uniform(noise(seed, salt, np.arange(len(others)), 4093))))))
-                below = gumbel_below(place, np.full(len(others), value), uniform(noise(seed, salt, np.arange(len(others)), 4092)))
-                for j in np.argsort(-below, kind="stable")[: k + 2].tolist():
-                    if j != pick and np.isfinite(below[j]):
-                        heapq.heappush(heap, (-float(below[j]), turn, "edge", s, w, step + int(owner[j]), int(others[j])))
-                        turn += 1
-                step, edge = step + int(owner[pick]), int(others[pick])
-            cut = start + step
-            new = len(found)
-            ends = np.concatenate(([lattice.to[edge]], lattice.first[units[lo + w + 1 : hi]]))
-            at, more = lattice.descend(ends, np.full(len(ends), seeds[i]), salt + 1, np.arange(w, hi - lo), step=1)
-            path = np.concatenate((s.edges[:cut], [edge], more))
-            owners = np.concatenate((s.words[:cut], [w], at + w))
-            logs = lattice.logp[path]
-            t = Sample(path, owners, float(logs.sum()), value)
-            # what the new sample leaves open: the rest of its word, and each word after
-            rest = np.concatenate(([step + 1], np.zeros(len(ends) - 1, dtype=np.int64)))
-            part = np.bincount(at, weights=lattice.logp[more], minlength=len(ends))
-            base = float(logs[: cut + 1].sum()) + np.cumsum(part) - part
-            with np.errstate(divide="ignore"):
-                place = base + np.log(-np.expm1(np.minimum(part, 0.0)))
-            fresh = gumbel_below(place, np.full(len(ends), value), uniform(noise(np.full(len(ends), seeds[i]), salt, np.arange(w, hi - lo), 4091)))
-            for j in np.argsort(-fresh, kind="stable")[: k + 1 - new].tolist():
-                if np.isfinite(fresh[j]):
-                    heapq.heappush(heap, (-float(fresh[j]), turn, "word", t, w + j, int(rest[j]), 0))
-                    turn += 1
-            found.append(t)
-        kappa = -heap[0][0] if heap else -np.inf
-        out.append(([(lattice.ids(s.edges), s.logp, s.value) for s in found], kappa))
-    return out
+        state = Search(i, lo, hi, [first])
+        for w in _largest(keys[lo:hi], k):
+            state.push(float(keys[lo + w]), "word", first, w, 0, 0)
+        states.append(state)
+    for new in range(1, k):
+        jobs = [s.next(lattice, seeds, k) for s in states if s is not None and s.heap]
+        if not jobs:
+            break
+        # all texts' next samples go down together
+        sizes = np.array([s.hi - s.lo - w for s, _, w, *_ in jobs])
+        first_of = np.cumsum(sizes) - sizes
+        job_of = np.repeat(np.arange(len(jobs)), sizes)
+        word = np.arange(len(job_of)) - first_of[job_of] + np.array([w for _, _, w, *_ in jobs])[job_of]
+        ends = lattice.first[units[np.array([s.lo for s, *_ in jobs])[job_of] + word]]
+        ends[first_of] = lattice.to[np.array([edge for *_, edge, _, _ in jobs])]
+        salts, values = (np.array([j[n] for j in jobs])[job_of] for n in (-1, -2))
+        seed = seeds[np.array([s.text for s, *_ in jobs])[job_of]]
+        at, more = lattice.descend(ends, seed, salts + 1, word, step=1)
+        part = np.bincount(at, weights=lattice.logp[more], minlength=len(ends))
+        run = np.cumsum(part) - part
+        heads = np.array([float(lattice.logp[s.edges[:cut]].sum()) + lattice.logp[edge] for _, s, _, cut, _, edge, _, _ in jobs])
+        with np.errstate(divide="ignore"):
+            place = heads[job_of] + run - run[first_of][job_of] + np.log(-np.expm1(np.minimum(part, 0.0)))
+        fresh = gumbel_below(place, values, uniform(draw(streams(seed, salts, word), 4091)))
+        bounds = np.searchsorted(at, np.append(first_of, len(ends)))
+        for n, (state, s, w, cut, step, edge, value, _) in enumerate(jobs):
+            mine = slice(bounds[n], bounds[n + 1])
+            path = np.concatenate((s.edges[:cut], [edge], more[mine]))
+            t = Sample(path, np.concatenate((s.words[:cut], [w], at[mine] - first_of[n] + w)), float(lattice.logp[path].sum()), value)
+            mine = fresh[first_of[n] : first_of[n] + sizes[n]]
+            for j in _largest(mine, k - new):
+                state.push(float(mine[j]), "word", t, w + j, 0 if j else step + 1, 0)
+            state.found.append(t)
+    empty = ([(np.zeros(0, dtype="<u2"), 0.0, 0.0)], -np.inf)
+    return [empty if s is None else ([(lattice.ids(t.edges), t.logp, t.value) for t in s.found], -s.heap[0][0] if s.heap else -np.inf) for s in states]
+
+
+def _largest(keys: np.ndarray, k: int) -> list[int]:
+    """Places of the k + 1 largest finite keys."""
+    at = np.argpartition(-keys, k)[: k + 1] if len(keys) > k + 1 else np.arange(len(keys))
+    return [int(i) for i in at if np.isfinite(keys[i])]
+
+
+@dataclass
+class Search:
+    """The frontier of one text: (-value, turn, kind, sample, word, step, edge); a word differs from that step on."""
+
+    text: int
+    lo: int
+    hi: int
+    found: list[Sample]
+    heap: list[tuple] = field(default_factory=list)
+    turn: int = 0
+
+    def push(self, value: float, *what) -> None:
+        heapq.heappush(self.heap, (-value, self.turn, *what))
+        self.turn += 1
+
+    def next(self, lattice: Lattice, seeds: np.ndarray, k: int) -> tuple:
+        """(self, sample left, word, edges kept, step, edge taken there, value, salt) of the next sample."""
+        value, _, kind, s, w, step, edge = heapq.heappop(self.heap)
+        value = -value
+        start, stop = np.searchsorted(s.words, [w, w + 1])
+        salt = len(self.found) * 64 + self.turn
+        if kind == "word":
+            # tell the children apart: one keeps the value, the others draw below it
+            mine = s.edges[start + step : stop]
+            others, owner, _ = lattice.edges_of(lattice.source[mine])
+            keep = others != mine[owner]
+            others, owner = others[keep], owner[keep]
+            before = float(lattice.logp[s.edges[: start + step]].sum())
+            logs = lattice.logp[mine]
+            place = before + (np.cumsum(logs) - logs)[owner] + lattice.logp[others]
+            seed, each = np.full(len(others), seeds[self.text]), np.arange(len(others))
+            pick = int(np.argmax(place - np.log(-np.log(uniform(noise(seed, salt, each, 4093))))))
+            below = gumbel_below(place, np.full(len(others), value), uniform(noise(seed, salt, each, 4092)))
+            below[pick] = -np.inf
+            for j in _largest(below, k):
+                self.push(float(below[j]), "edge", s, w, step + int(owner[j]), int(others[j]))
+            step, edge = step + int(owner[pick]), int(others[pick])
+        return self, s, w, int(start) + step, step, edge, value, salt
 
 
 def split_words(text: str) -> list[str]:
     """Words with marks for spaces; a literal mark stands alone."""
-    if MARK not in text:
-        return [u.replace(" ", MARK) for u in UNIT.findall(" " + text)]
-    return [LITERAL if u == MARK else u.replace(" ", MARK) for u in WITH_MARKS.findall(" " + text)]
+    if MARK in text:
+        text = text.replace(MARK, LITERAL)
+    return UNIT.findall(MARK + text.replace(" ", MARK))
 
 
 def decode(ids: np.ndarray, vocab: Vocabulary) -> str:
