@@ -24,9 +24,10 @@ def _title(stage: Column) -> Column:
 def fold(flat: DataFrame, snapshot_day: str | None = None) -> DataFrame:
     """One row a case. Stages are few a case; they are gathered in their order by the aggregate."""
     s = stages(flat)
-    keyed = s.select("number", F.struct(F.col("stage.ord"), F.xxhash64(F.to_json("stage.fields")).alias("h"), F.to_json("stage").alias("json")).alias("k"))
-    shape = s.schema["stage"].dataType
-    grouped = keyed.groupBy("number").agg(F.transform(F.array_sort(F.collect_list("k")), lambda k: F.from_json(k["json"], shape)).alias("stages"))
+    # equal starts and ids are ordered by content, so that the fold does not depend on the order of rows
+    s = s.withColumn("stage", F.col("stage").withField("ord", F.struct(F.col("stage.ord.start"), F.col("stage.ord.id"), F.xxhash64(F.map_values(F.col("stage")["fields"])).alias("h"))))
+    earlier = lambda x, y: F.when(x["ord"] < y["ord"], -1).when(x["ord"] > y["ord"], 1).otherwise(0)
+    grouped = s.groupBy("number").agg(F.array_sort(F.collect_list("stage"), earlier).alias("stages"))
     primary = F.coalesce(F.get(F.filter("stages", lambda x: x["phase"] == PRIMARY), 0), F.get("stages", 0))
     case = grouped.withColumn("p", primary).withColumn("c", F.element_at("stages", -1))
     starts = F.array_min(F.filter(F.transform("stages", lambda x: x["start_date"]), lambda d: d.isNotNull()))

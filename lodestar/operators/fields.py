@@ -68,8 +68,9 @@ def resolve(spec: Field, cases: DataFrame) -> Column:
     return F.coalesce(F.nullif(scalar, F.lit("")), _from_items(spec, items))
 
 
-def project(cases: DataFrame, specs: list[Field]) -> DataFrame:
-    return cases.select("number", *[resolve(s, cases).alias(f"f{i}_{s.source}") for i, s in enumerate(specs)])
+def project(cases: DataFrame, specs: list[Field], keep: tuple[str, ...] = ()) -> DataFrame:
+    """number, the columns to keep, and a column for each spec."""
+    return cases.select("number", *keep, *[resolve(s, cases).alias(f"f{i}_{s.source}") for i, s in enumerate(specs)])
 
 
 def sources(cases: DataFrame) -> DataFrame:

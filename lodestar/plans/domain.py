@@ -34,8 +34,8 @@ def case_records(spark, sf_dir):
     ship(spark)
     folded = cases.fold(flatten(_feed(spark, sf_dir)))
     specs = [fields.Field.from_dict(x) for x in ({"source": "title"}, {"source": "target_date"}, {"source": "participants", "where": {"role": "complainant"}}, {"source": "investigation_status", "stage": "current"})]
-    got = fields.project(folded, specs).toDF("number", "title", "target_date", "complainants", "status")
-    return got.join(folded.select("number", "phase", "date_initiated", F.col("stage_count").cast("int").alias("stage_count")), "number")
+    got = fields.project(folded, specs, keep=("phase", "date_initiated", "stage_count"))
+    return got.toDF("number", "phase", "date_initiated", "stage_count", "title", "target_date", "complainants", "status").withColumn("stage_count", F.col("stage_count").cast("int"))
 
 
 frame_query("case_records", case_records, """
