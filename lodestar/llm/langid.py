@@ -5,9 +5,10 @@ share the slots, and a slot holds one bit per language, so one probe of an n-gra
 returns the set of all languages that contain it. A text's language is the one with most n-grams, after the
 expected false positives of its filter are taken off the popcount.
 
-Learning reads, for each language, at most `sample` documents (those whose keys hash lowest, so the choice
-does not depend on partitioning) and keeps at most `grams` n-grams of it, the most frequent; both are the
-bounds of the model's size. Everything is then scored, whole texts, in one pass without a shuffle.
+Learning reads, for each language, all documents up to `sample` and beyond that a share that comes to `sample` of
+them (those whose keys hash lowest, so the choice does not depend on partitioning). It keeps the `most_grams`
+most frequent n-grams of those the sample repeats; both are the bounds of the model's size. Everything is then
+scored, whole texts, in one pass without a shuffle.
 
 Defined results: null text, or text without a letter: `und` with score 0; no learned language: `und`
 throughout; equal popcounts: the language first in alphabetical order; a null id folds as the empty text;
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import fold, key_text, read_table
@@ -113,12 +114,12 @@ def probes(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
 
 def learn(docs: DataFrame, key: str, text: str, lang: str, sample: int = 1500, most_grams: int = 150_000, least: int = 2, bits: int = 22) -> Filters:
     """Filters from the rows of docs that have text and language."""
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key_text(F.col(key)).alias("k"), F.col(lang).cast("string").alias("lang"), F.xxhash64(key_text(F.col(key)), F.col(lang).cast("string")).alias("h"), F.col(text).cast("string").alias("text"))
-    names = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    first = Window.partitionBy("lang").orderBy("h", "k")
-    drawn = known.select("lang", "h", "k").filter(F.col("lang").isin(names)).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample).select("lang", "h", "k").distinct()
-    # at most 64 x sample keys of a few bytes: small enough to broadcast whatever the input
-    texts = known.join(F.broadcast(drawn), ["lang", "h", "k"], "left_semi").select("lang", "text")
+    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.xxhash64(key_text(F.col(key)), F.col(lang).cast("string")).alias("h"), F.col(text).cast("string").alias("text"))
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    share = F.lit(None).cast("double")
+    for r in sizes:  # at most 64
+        share = F.when(F.col("lang") == r.lang, min(1.0, sample / r["count"])).otherwise(share)
+    texts = known.filter(F.shiftrightunsigned("h", 11) < share * 2.0**53).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
@@ -141,10 +142,10 @@ def learn(docs: DataFrame, key: str, text: str, lang: str, sample: int = 1500, m
         yield from flush()
 
     counts = texts.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = counts.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= most_grams).select("lang", "gram").toArrow()
-    lang_of, gram = np.array(kept.column(0).to_pylist(), dtype=object), kept.column(1).to_numpy().view(np.uint64)
-    return Filters.build({name: gram[lang_of == name] for name in set(lang_of)}, bits)
+    kept = counts.toArrow()  # what the sample repeats
+    lang_of, gram, n = np.array(kept.column(0).to_pylist(), dtype=object), kept.column(1).to_numpy().view(np.uint64), kept.column(2).to_numpy()
+    order = np.lexsort((gram, -n))
+    return Filters.build({name: gram[order[lang_of[order] == name][:most_grams]] for name in set(lang_of)}, bits)
 
 
 def predict(docs: DataFrame, text: str, filters: Filters, keep: list[str]) -> DataFrame:
