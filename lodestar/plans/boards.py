@@ -70,7 +70,7 @@ WITH {UNITS}, suits AS (SELECT c.unit AS a, r.unit AS b, CAST(count(DISTINCT c.c
 sql_query("two_way_disputes", "orders customer lineitem supplier", f"""{TWO_WAY}
 SELECT x.a AS one, x.b AS other, x.n AS one_sued, y.n AS other_sued FROM suits x JOIN suits y ON y.a = x.b AND y.b = x.a WHERE x.a <= x.b""")
 sql_query("two_way_disputes_of", "orders customer lineitem supplier", f"""{TWO_WAY}
-SELECT x.a AS unit, x.b AS other, x.n AS sued, y.n AS was_sued FROM suits x JOIN suits y ON y.a = x.b AND y.b = x.a WHERE x.a IN ('7-1', '7-2', '3-0') ORDER BY x.n + y.n DESC, x.a, x.b LIMIT 20""")
+SELECT x.a AS unit, x.b AS other, x.n AS sued, y.n AS was_sued FROM suits x JOIN suits y ON y.a = x.b AND y.b = x.a""")
 
 sql_query("company_opponents_direction", "orders customer lineitem supplier", f"""
 WITH {UNITS}, pairs AS (SELECT c.unit AS company, r.unit AS opponent, 'sued' AS direction, c.case_id FROM comp c JOIN resp r ON r.case_id = c.case_id WHERE c.unit <> r.unit
@@ -98,8 +98,8 @@ SELECT a, b, CAST(count(DISTINCT case_id) AS BIGINT) AS cases FROM pairs GROUP B
 sql_query("cocounsel_pairs", "lineitem", COCOUNSEL.format(law=""))
 sql_query("cocounsel_pairs_law", "lineitem supplier", COCOUNSEL.format(law="AND firm IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 2500)"))
 sql_query("cocounsel_of", "lineitem", f"""
-WITH rep AS ({REP}), mine AS (SELECT case_id, side FROM rep WHERE firm = 7 AND side IN ('C', 'R'))
-SELECT r.firm, CAST(count(DISTINCT r.case_id) AS BIGINT) AS cases FROM rep r JOIN mine m ON m.case_id = r.case_id AND m.side = r.side WHERE r.firm <> 7 GROUP BY r.firm ORDER BY cases DESC, r.firm LIMIT 25""")
+WITH rep AS ({REP}), side AS (SELECT case_id, firm, side FROM rep WHERE side IN ('C', 'R'))
+SELECT x.firm, y.firm AS partner, CAST(count(DISTINCT x.case_id) AS BIGINT) AS cases FROM side x JOIN side y ON y.case_id = x.case_id AND y.side = x.side AND y.firm <> x.firm GROUP BY x.firm, y.firm""")
 
 SPAN = f"""
 span AS (SELECT o.o_orderkey AS case_id, CAST(year(o.o_orderdate) AS INT) AS lo, o.o_orderstatus = 'O' AS open,
@@ -117,7 +117,7 @@ sql_query("litigation_by_year", "lineitem orders", f"""
 WITH rep AS ({REP}) SELECT CAST(year(o.o_orderdate) AS INT) AS y, r.side, CAST(count(DISTINCT r.case_id) AS BIGINT) AS cases
 FROM rep r JOIN orders o ON o.o_orderkey = r.case_id GROUP BY CAST(year(o.o_orderdate) AS INT), r.side""")
 sql_query("yearly_gapfill", "orders", """
-WITH n AS (SELECT CAST(year(o_orderdate) AS INT) AS y, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_custkey % 97 = 5 AND o_orderstatus = 'P' GROUP BY CAST(year(o_orderdate) AS INT)),
+WITH n AS (SELECT CAST(year(o_orderdate) AS INT) AS y, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AND o_totalprice > 400000 GROUP BY CAST(year(o_orderdate) AS INT)),
 span AS (SELECT min(y) AS lo, max(y) AS hi FROM n), years AS (SELECT @rows(lo, hi) AS y FROM span),
 filled AS (SELECT CAST(s.y AS INT) AS y, coalesce(n.n, 0) AS n FROM years s LEFT JOIN n ON n.y = s.y)
 SELECT y, CAST(n AS BIGINT) AS n, n = max(n) OVER () AS peak FROM filled""")
@@ -157,3 +157,13 @@ SELECT CAST(count(DISTINCT l_orderkey) AS BIGINT) AS cases_with_counsel, CAST(co
   CAST(count(DISTINCT o_custkey) AS BIGINT) AS companies FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
 sql_query("largest_entities", "lineitem", """
 SELECT l_suppkey AS firm, CAST(count(*) AS BIGINT) AS spellings, @set(l_returnflag) AS roles FROM lineitem GROUP BY l_suppkey ORDER BY spellings DESC, firm LIMIT 15""")
+
+#: The views of the web application, one named query each.
+sql_query("firm_view", "lineitem orders", f"""
+WITH rep AS ({REP}) SELECT r.firm, r.case_id, r.side, o.o_orderstatus AS status, @iso(r.first_filed) AS first_filed, r.filings FROM rep r JOIN orders o ON o.o_orderkey = r.case_id""")
+sql_query("attorney_view", "lineitem", """
+SELECT l_partkey AS attorney, l_suppkey AS firm, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS cases, @iso(min(l_shipdate)) AS first_filed, @iso(max(l_shipdate)) AS last_filed FROM lineitem GROUP BY l_partkey, l_suppkey""")
+sql_query("company_view", "orders lineitem", """
+SELECT o.o_custkey AS company, o.o_orderkey AS case_id, o.o_orderstatus AS status, coalesce(@set(l.l_suppkey), '') AS firms FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_custkey, o.o_orderkey, o.o_orderstatus""")
+sql_query("family_view", "customer orders nation", """
+SELECT n.n_name AS family, c.c_custkey AS company, c.c_name AS name, CAST(count(o.o_orderkey) AS BIGINT) AS cases FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY n.n_name, c.c_custkey, c.c_name""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.claims import sentences_udf
 from lodestar.functions.names import company_key_udf, firm_key_udf, person_udf
-from lodestar.operators import cases, docket, evidence, fields, matrix, resolve, summary
+from lodestar.operators import bundle, cases, docket, evidence, fields, matrix, resolve, summary
 from lodestar.operators.calendar import business_days, period_end
 from lodestar.operators.flatten import flatten
 from lodestar.operators.graph import scratch
@@ -254,3 +254,15 @@ def windowed_events(spark, sf_dir):
 frame_query("windowed_events", windowed_events, """
 SELECT strftime(time_bucket(INTERVAL 6 HOURS, ts), '%Y-%m-%d %H:%M') AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2""")
 
+
+
+def bundle_positions(spark, sf_dir):
+    """Firms by position, as the packed bundle numbers them."""
+    l, s = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
+    ents = l.groupBy("l_suppkey").agg(F.count_distinct("l_orderkey").alias("cases")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), "cases")
+    return bundle.positions(ents)
+
+
+frame_query("bundle_positions", bundle_positions, """
+SELECT CAST(s_suppkey AS STRING) AS id, s_name AS name, n AS cases, CAST(row_number() OVER (ORDER BY n DESC, lower(s_name), CAST(s_suppkey AS STRING)) - 1 AS BIGINT) AS ix
+FROM (SELECT l_suppkey, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS n FROM lineitem GROUP BY l_suppkey) x JOIN supplier ON s_suppkey = l_suppkey""")

@@ -1,7 +1,7 @@
 """Snapshot differences, upserts, key lookups and refresh rules.
 
-Two snapshots of the case feed are made from orders: the earlier lacks keys ending in 3 and has an older status
-for keys divisible by 50; the later lacks keys divisible by 997.
+Two snapshots of the case feed are made from orders: the earlier lacks the last month's orders and has an older
+status for the months before; the later lacks small orders and has a newer phase for large ones.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from lodestar.plans.registry import sql_query
 DAY = "DATE '2001-08-02'"
 
 SNAPSHOTS = """
-old_s AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 50 = 0 THEN 'P' ELSE o_orderstatus END AS status, o_orderpriority AS phase, o_totalprice AS total FROM orders WHERE o_orderkey % 10 <> 3),
-new_s AS (SELECT o_orderkey AS k, o_orderstatus AS status, CASE WHEN o_orderkey % 75 = 0 THEN '1-URGENT' ELSE o_orderpriority END AS phase, o_totalprice AS total FROM orders WHERE o_orderkey % 997 <> 0)"""
+old_s AS (SELECT o_orderkey AS k, CASE WHEN o_orderdate >= TIMESTAMP '2001-05-01 00:00:00' THEN 'P' ELSE o_orderstatus END AS status, o_orderpriority AS phase, o_totalprice AS total FROM orders WHERE o_orderdate < TIMESTAMP '2001-07-01 00:00:00'),
+new_s AS (SELECT o_orderkey AS k, o_orderstatus AS status, CASE WHEN o_totalprice > 400000 THEN '1-URGENT' ELSE o_orderpriority END AS phase, o_totalprice AS total FROM orders WHERE o_totalprice >= 20000)"""
 
 sql_query("snapshot_diff", "orders", f"""
 WITH {SNAPSHOTS} SELECT coalesce(n.k, o.k) AS case_id,
@@ -28,14 +28,14 @@ sql_query("removal_guard", "orders", f"""
 WITH {SNAPSHOTS}, c AS (SELECT CAST(count(*) AS BIGINT) AS listed, CAST(sum(CASE WHEN NOT EXISTS (SELECT 1 FROM new_s n WHERE n.k = o.k) THEN 1 ELSE 0 END) AS BIGINT) AS removed FROM old_s o)
 SELECT listed, removed, removed > 10 AND removed * 50 > listed AS refused FROM c""".replace("CAST(sum(CASE WHEN NOT EXISTS (SELECT 1 FROM new_s n WHERE n.k = o.k) THEN 1 ELSE 0 END) AS BIGINT) AS removed FROM old_s o", "CAST(sum(CASE WHEN n.k IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS removed FROM old_s o LEFT JOIN new_s n ON n.k = o.k"))
 sql_query("docket_migration", "orders", """
-WITH cases AS (SELECT concat('337-', CAST(o_orderkey AS STRING)) AS number, o_orderkey AS docket FROM orders WHERE o_orderkey % 3 = 0),
-docs AS (SELECT CAST(o_orderkey AS STRING) AS k, o_custkey AS n FROM orders WHERE o_orderkey % 2 = 0),
-kept AS (SELECT concat('337-', CAST(o_orderkey AS STRING)) AS k FROM orders WHERE o_orderkey % 12 = 0)
+WITH cases AS (SELECT concat('337-', CAST(o_orderkey AS STRING)) AS number, o_orderkey AS docket FROM orders WHERE o_orderstatus <> 'P'),
+docs AS (SELECT CAST(o_orderkey AS STRING) AS k, o_custkey AS n FROM orders WHERE o_orderpriority <> '5-LOW'),
+kept AS (SELECT concat('337-', CAST(o_orderkey AS STRING)) AS k FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT')
 SELECT d.k AS old_key, c.number AS new_key, d.n FROM docs d JOIN cases c ON CAST(c.docket AS STRING) = d.k
 WHERE NOT EXISTS (SELECT 1 FROM kept x WHERE x.k = c.number)""")
 sql_query("number_key_lookup", "orders", """
 WITH cases AS (SELECT concat('337-TA-', CAST(o_orderkey AS STRING)) AS number, CAST(o_orderkey AS STRING) AS serial FROM orders),
-wanted AS (SELECT concat('No. 337/', CAST(o_orderkey AS STRING)) AS w FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT CAST(o_orderkey AS STRING) FROM orders WHERE o_orderkey % 11 = 0 UNION ALL SELECT 'unknown 999999999'),
+wanted AS (SELECT concat('No. 337/', CAST(o_orderkey AS STRING)) AS w FROM orders UNION ALL SELECT CAST(o_orderkey AS STRING) FROM orders UNION ALL SELECT 'unknown 999999999'),
 keys AS (SELECT w, CASE WHEN @matches(w, '[0-9]+[^0-9]+[0-9]+') THEN @group(w, '([0-9]+)[^0-9]+([0-9]+)', 2) ELSE @group(w, '([0-9]+)', 1) END AS serial FROM wanted)
 SELECT k.w AS wanted, c.number FROM keys k LEFT JOIN cases c ON c.serial = k.serial""")
 sql_query("missing_lists_newest_first", "orders lineitem", """
@@ -59,7 +59,7 @@ WITH previous AS (SELECT l_orderkey AS k, l_linenumber AS n, max(l_quantity) AS
 fresh AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_quantity) AS q FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01 00:00:00' GROUP BY l_orderkey, l_linenumber)
 SELECT k, n, q, 'fresh' AS origin FROM fresh UNION ALL SELECT p.k, p.n, p.q, 'kept' FROM previous p WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.k = p.k AND f.n = p.n)""")
 sql_query("store_summary_full_outer", "orders lineitem", """
-WITH c AS (SELECT o_orderkey AS k, o_orderstatus AS status FROM orders WHERE o_orderkey % 5 <> 0), d AS (SELECT l_orderkey AS k, CAST(count(*) AS BIGINT) AS documents, CAST(sum(l_linenumber) AS BIGINT) AS attachments FROM lineitem WHERE l_orderkey % 7 <> 0 GROUP BY l_orderkey)
+WITH c AS (SELECT o_orderkey AS k, o_orderstatus AS status FROM orders WHERE o_orderpriority <> '5-LOW'), d AS (SELECT l_orderkey AS k, CAST(count(*) AS BIGINT) AS documents, CAST(sum(l_linenumber) AS BIGINT) AS attachments FROM lineitem WHERE l_returnflag <> 'N' GROUP BY l_orderkey)
 SELECT coalesce(c.k, d.k) AS case_id, c.status, coalesce(d.documents, 0) AS documents, coalesce(d.attachments, 0) AS attachments FROM c FULL JOIN d ON d.k = c.k""")
 sql_query("latest_snapshot_of_day", "events", """
 WITH s AS (SELECT CAST(ts AS DATE) AS day, ts, event_id FROM events WHERE event_type = 'view')
@@ -95,7 +95,7 @@ sql_query("field_coverage", "events", """
 WITH f AS (SELECT 'k' AS source, @json(props, '$.k') AS v FROM events UNION ALL SELECT 'missing', @json(props, '$.missing') FROM events UNION ALL SELECT 'value', CAST(CAST(value AS INT) AS STRING) FROM events)
 SELECT source, CAST(count(v) AS BIGINT) AS present, CAST(count(*) AS BIGINT) AS total, min(v) AS sample FROM f GROUP BY source""")
 sql_query("case_universe", "orders lineitem", """
-SELECT k AS case_id FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 2 = 0 UNION SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1 UNION SELECT o_custkey FROM orders) u""")
+SELECT k AS case_id FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'O' UNION SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1 UNION SELECT o_custkey FROM orders) u""")
 sql_query("set_ops", "lineitem", """
 WITH a AS (SELECT DISTINCT l_suppkey AS firm FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49), b AS (SELECT DISTINCT l_suppkey AS firm FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 49)
 SELECT 'both' AS kind, firm FROM (SELECT firm FROM a INTERSECT SELECT firm FROM b) x UNION ALL SELECT 'only a', firm FROM (SELECT firm FROM a EXCEPT SELECT firm FROM b) y UNION ALL SELECT 'only b', firm FROM (SELECT firm FROM b EXCEPT SELECT firm FROM a) z""")

@@ -52,8 +52,8 @@ WITH e AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, @plus(CAST
 SELECT @iso(d) AS day, k AS case_id, n AS line, p AS part, @days({DAY}, d) AS days_left FROM e WHERE @days({DAY}, d) BETWEEN 0 AND 7 ORDER BY d, k, n, p LIMIT 8""")
 sql_query("upcoming_window", "lineitem", f"""
 WITH e AS (SELECT @plus(CAST(l_shipdate AS DATE), 30) AS d, l_returnflag = 'R' AS on_hold FROM lineitem) SELECT @iso(d) AS day, on_hold, CAST(count(*) AS BIGINT) AS n FROM e WHERE @days({DAY}, d) BETWEEN -7 AND 35 GROUP BY d, on_hold""")
-sql_query("sole_alias_firms", "lineitem", """
-WITH fa AS (SELECT DISTINCT l_suppkey AS firm, l_partkey AS attorney FROM lineitem), quiet AS (SELECT firm FROM fa GROUP BY firm HAVING firm % 4 = 0), others AS (SELECT DISTINCT attorney FROM fa WHERE firm % 4 <> 0),
+sql_query("sole_alias_firms", "lineitem supplier", """
+WITH fa AS (SELECT DISTINCT l_suppkey AS firm, l_partkey AS attorney FROM lineitem), quiet AS (SELECT s_suppkey AS firm FROM supplier WHERE s_acctbal < 2500), others AS (SELECT DISTINCT f.attorney FROM fa f LEFT JOIN quiet q ON q.firm = f.firm WHERE q.firm IS NULL),
 shared AS (SELECT f.firm, CAST(count(*) AS BIGINT) AS attorneys, CAST(count(o.attorney) AS BIGINT) AS elsewhere FROM fa f JOIN quiet q ON q.firm = f.firm LEFT JOIN others o ON o.attorney = f.attorney GROUP BY f.firm)
 SELECT firm, attorneys, attorneys = elsewhere AS is_alias FROM shared""")
 sql_query("short_form_prefix_join", "part", """

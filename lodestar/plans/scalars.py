@@ -33,14 +33,14 @@ sql_query("content_fingerprints", "documents", """
 SELECT doc_id, substr(sha2(text, 256), 1, 16) AS fingerprint, CAST(length(text) AS INT) AS size FROM documents""", oracle="""
 SELECT doc_id, substr(sha256(text), 1, 16) AS fingerprint, CAST(length(text) AS INT) AS size FROM documents""")
 sql_query("loose_text", "documents", """
-SELECT doc_id, @replace_all(lower(text), '[^a-z0-9]', '') AS loose FROM documents WHERE lang = 'en'""")
+SELECT doc_id, @replace_all(lower(text), '[^a-z0-9]', '') AS loose FROM documents""")
 sql_query("loose_names", "part", """
 SELECT DISTINCT p_name, replace(@replace_all(lower(p_name), '[^a-z0-9]', ''), 'o', '0') AS ocr FROM part""")
 sql_query("claim_expand", "part", """
 WITH c AS (SELECT p_partkey AS k, p_size AS lo, p_size + p_partkey % 9 AS hi FROM part), e AS (SELECT k, @rows(lo, hi) AS claim FROM c)
 SELECT k, CAST(claim AS INT) AS claim FROM e""")
 sql_query("claim_ranges_islands", "lineitem", """
-WITH c AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS n FROM lineitem WHERE l_partkey < 400), g AS (SELECT k, n, n - row_number() OVER (PARTITION BY k ORDER BY n) AS island FROM c),
+WITH c AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS n FROM lineitem), g AS (SELECT k, n, n - row_number() OVER (PARTITION BY k ORDER BY n) AS island FROM c),
 r AS (SELECT k, min(n) AS lo, max(n) AS hi FROM g GROUP BY k, island) SELECT k, CASE WHEN lo = hi THEN CAST(lo AS STRING) ELSE concat(CAST(lo AS STRING), '-', CAST(hi AS STRING)) END AS claims FROM r""")
 sql_query("patent_digits", "part", """
 SELECT DISTINCT p_brand, @replace_all(p_brand, '[^0-9A-Za-z]', '') AS bare, @replace_all(p_brand, '[^0-9]', '') AS digits FROM part""")
