@@ -103,10 +103,10 @@ def drop_copies(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The rows of docs that stay, all columns as they were; of rows equal in id and text one stays."""
     index = build_index(docs, key, text).select("key", "sha", "keep_id")
     body = text_or_empty(F.col(text))
-    marked = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(key).alias("id"), key_of(body).alias("key"), F.sha2(body, 256).alias("sha"))
-    stays = index.withColumnRenamed("keep_id", "id")
-    kept = marked.join(stays, (marked.key == stays.key) & (marked.sha == stays.sha) & marked.id.eqNullSafe(stays.id), "left_semi")
-    one = kept.groupBy("key", "sha").agg(F.first("row").alias("row"))
+    name = lambda c: F.to_json(F.struct(c.alias("id")))  # noqa: E731  # never null, so that one partitioning serves join and aggregate
+    marked = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), name(F.col(key)).alias("name"), key_of(body).alias("key"), F.sha2(body, 256).alias("sha"))
+    stays = index.select("key", "sha", name(F.col("keep_id")).alias("name"))
+    one = marked.join(stays, ["key", "sha", "name"], "left_semi").groupBy("key", "sha", "name").agg(F.first("row").alias("row"))
     return one.select("row.*")
 
 

@@ -400,11 +400,12 @@ def keep_one(docs: DataFrame, key: str, text: str, width: int = 5) -> DataFrame:
     """The rows of docs that stay, all columns as they were: of each component the row of smallest id (of several
     with that id, the one whose text hashes lowest; of rows equal in both, one)."""
     found = cluster(docs, key, text, width)
-    marked = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("id"), F.xxhash64(text_or_empty(F.col(text))).alias("t"))
+    name = lambda c: F.to_json(F.struct(c.alias("id")))  # noqa: E731  # never null, so that one partitioning serves join and aggregate
+    marked = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), name(F.col(key).cast("long")).alias("name"), F.xxhash64(text_or_empty(F.col(text))).alias("t"))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("t"))).alias("best")
     stays = found.filter(F.col("comp").isNotNull()).groupBy("comp").agg(best).select("best.id", "best.t").union(found.filter(F.col("comp").isNull()).select("id", "t").distinct())
-    kept = marked.join(stays, marked.id.eqNullSafe(stays.id) & (marked.t == stays.t), "left_semi")
-    return kept.dropDuplicates(["id", "t"]).select("row.*")
+    kept = marked.join(stays.select(name(F.col("id")).alias("name"), "t"), ["name", "t"], "left_semi")
+    return kept.groupBy("name", "t").agg(F.first("row").alias("row")).select("row.*")
 
 
 def op9_minhash(spark, sf_dir: str) -> DataFrame:
