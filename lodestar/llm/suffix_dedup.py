@@ -42,7 +42,7 @@ from lodestar.llm.minhash import mixed, powers
 GRAM = 128
 CHUNK = 1 << 20
 MOST = 4096
-BATCH = 4 << 20
+BATCH = 2 << 20
 NO_ID = -(1 << 63)
 _TABLE = np.random.default_rng(31).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
