@@ -16,8 +16,10 @@ anchor on are sorted by merging: two suffixes are compared by the polynomial has
 binary search for the common extension. Neighbours in that order bound how far a suffix is shared; strings
 within the bound are held against each other by hash, and every equality found is verified on the bytes.
 
-Groups of more than MOST classes are not gathered: the strings of their fragments are counted by digest, spread
-over all tasks. Every other step spreads by anchor, class or document, with partial aggregation before the
+Groups of more than MOST classes are not gathered. Their fragments are cut into pieces of at most PIECE string
+starts, dealt anew by the bytes that all strings of a piece share (PIECE - 1 less than `length`), which sets
+apart documents that share a shorter passage; a group that is still larger has its strings counted by digest,
+spread over all tasks. Every other step spreads by anchor, class or document, with partial aggregation before the
 shuffle, so copies and common passages leave each task once.
 
 Defined results: a null text is empty; texts are UTF-8 bytes and matches never cross documents; documents shorter
@@ -41,7 +43,8 @@ from lodestar.llm.minhash import mixed, powers
 
 GRAM = 128
 CHUNK = 1 << 20
-MOST = 4096
+MOST = 1024
+PIECE = 16
 BATCH = 2 << 20
 NO_ID = -(1 << 63)
 _TABLE = np.random.default_rng(31).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -230,7 +233,48 @@ def covered(starts: np.ndarray, length: int) -> list[int]:
 
 # ---- over tables
 
-_CLASSES = pa.schema([("a", pa.int64()), ("f", pa.binary()), ("spans", pa.list_(pa.int32()))])
+
+
+def solver(length: int, key: pa.DataType):
+    """Repeated bytes of each class, from rows (group, class, places, anchor's place, bytes) sorted by group and
+    class, in batches of whole groups."""
+    schema = pa.schema([("g", key), ("f", pa.binary()), ("spans", pa.list_(pa.int32()))])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[int, int, bytes]] = {}
+        size, last = 0, None
+
+        def flush():
+            names = list(held)
+            starts = repeated([(g, at, data) for (g, _), (_, at, data) in held.items()], length)
+            spans = [[0, len(held[x][2])] if held[x][0] > 1 else covered(s, length) for x, s in zip(names, starts, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in names], key), pa.array([x[1] for x in names], pa.binary()), pa.array(spans, pa.list_(pa.int32()))], schema=schema)
+
+        for batch in batches:
+            for g, f, c, at, data in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if size > BATCH and g != last:
+                    yield flush()
+                    held, size = {}, 0
+                last = g
+                if (g, f) not in held:
+                    held[g, f] = (c, at, data)
+                    size += len(data)
+        if held:
+            yield flush()
+
+    return solve
+
+
+def pieces_of(at: int, data: bytes, length: int, size: int = PIECE) -> list[tuple[int, int, int, bytes]]:
+    """(block, first start, last start, core) of a fragment's pieces. A string's block comes from its distance to the
+    anchor, so equal strings are in equal blocks, and the core is what all strings of the block cover."""
+    out, n = [], len(data) - length + 1
+    for block in range((at - n + 1) // size, at // size + 1):
+        first, last = max(0, at - size * block - size + 1), min(n - 1, at - size * block)
+        if first <= last:
+            begin = at - size * block
+            out.append((block, first, last, data[begin : begin + length - size + 1]))
+    return out
 
 
 def repeats(docs: DataFrame, key: str, text: str, length: int = 400, gram: int = GRAM, most: int = MOST) -> DataFrame:
@@ -287,45 +331,43 @@ def repeats(docs: DataFrame, key: str, text: str, length: int = 400, gram: int =
     shown = texts.join(wanted, ["id", "t"]).select("id", "t", "data", "wanted").mapInArrow(fetch, "a long, f binary, c long, size long, at int, bytes binary")
     shown = materialize(shown, "fragments")
 
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Repeated bytes of each class, group by group, in batches of whole groups."""
-        held: dict[tuple[int, bytes], tuple[int, int, bytes]] = {}
-        size, last = 0, None
-
-        def flush():
-            names = list(held)
-            starts = repeated([(a, at, data) for (a, _), (_, at, data) in held.items()], length)
-            spans = [[0, len(held[x][2])] if held[x][0] > 1 else covered(s, length) for x, s in zip(names, starts, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.binary()), pa.array(spans, pa.list_(pa.int32()))], schema=_CLASSES)
+    small = shown.filter(F.col("size") <= most).select("a", "f", "c", "at", "bytes").repartition("a").sortWithinPartitions("a", "f")
+    solved = small.mapInArrow(solver(length, pa.int64()), "a long, f binary, spans array<int>")
 
+    # fragments of large groups, in pieces
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                if size > BATCH and row["a"] != last:
-                    yield flush()
-                    held, size = {}, 0
-                last = row["a"]
-                if (row["a"], row["f"]) not in held:
-                    held[row["a"], row["f"]] = (row["c"], row["at"], row["bytes"])
-                    size += len(row["bytes"])
-        if held:
-            yield flush()
-
-    small = shown.filter(F.col("size") <= most).select("a", "f", "c", "at", "bytes").repartition("a").sortWithinPartitions("a", "f")
-    solved = small.mapInArrow(solve, "a long, f binary, spans array<int>")
+                found = pieces_of(row["at"], row["bytes"], length)
+                parts = [row["bytes"][lo : hi + length] for _, lo, hi, _ in found]
+                keys = [digest_of(f"{row['a']}:{block}:".encode() + core) for block, _, _, core in found]
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(keys, pa.binary()), pa.array([digest_of(x) for x in parts], pa.binary()), pa.array([row["c"]] * n, pa.int64()), pa.array([row["at"] - lo for _, lo, _, _ in found], pa.int32()), pa.array(parts, pa.binary()),
+                    pa.array([row["a"]] * n, pa.int64()), pa.array([row["f"]] * n, pa.binary()), pa.array([lo for _, lo, _, _ in found], pa.int32()),
+                ], names=["k", "p", "c", "at", "bytes", "a", "f", "s"])
+
+    hot = shown.filter(F.col("size") > most).select("a", "f", "c", "at", "bytes").dropDuplicates(["a", "f"])
+    cut_pieces = hot.mapInArrow(cut_up, "k binary, p binary, c long, at int, bytes binary, a long, f binary, s int")
+    kinds = cut_pieces.groupBy("k", "p").agg(F.sum("c").alias("c"), F.first("at").alias("at"), F.first("bytes").alias("bytes"))
+    counted = kinds.join(kinds.groupBy("k").agg(F.count(F.lit(1)).alias("kinds")), "k")
+    few = counted.filter(F.col("kinds") <= most).select("k", "p", "c", "at", "bytes").repartition("k").sortWithinPartitions("k", "p")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Digests of the strings of large groups' fragments."""
+        """Digests of the strings of pieces in groups that stay large."""
         for batch in batches:
             for row in batch.to_pylist():
                 n = len(row["bytes"]) - length + 1
                 digests = [digest_of(row["bytes"][s : s + length]) for s in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([row["a"]] * n, pa.int64()), pa.array([row["f"]] * n, pa.binary()), pa.array(digests, pa.binary()), pa.array(range(n), pa.int32())], names=["a", "f", "d", "s"])
-
-    hot = shown.filter((F.col("size") > most) & (F.col("c") == 1)).select("a", "f", "bytes").dropDuplicates(["a", "f"])
-    every = shown.filter(F.col("size") > most).select("a", "f", "bytes").mapInArrow(strings, "a long, f binary, d binary, s int")
-    twice = every.groupBy("a", "d").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).filter("lo <> hi").select("a", "d")
-    spread = hot.mapInArrow(strings, "a long, f binary, d binary, s int").join(twice, ["a", "d"], "left_semi").groupBy("a", "f").agg(F.sort_array(F.collect_list("s")).alias("s"))
-    spread = spread.select("a", "f", F.flatten(F.transform("s", lambda s: F.array(s, s + length))).alias("spans"))
+                yield pa.RecordBatch.from_arrays([pa.array([row["k"]] * n, pa.binary()), pa.array([row["p"]] * n, pa.binary()), pa.array([row["c"]] * n, pa.int64()), pa.array(digests, pa.binary()), pa.array(range(n), pa.int32())], names=["k", "p", "c", "d", "s"])
+
+    many = counted.filter(F.col("kinds") > most).select("k", "p", "c", "bytes").mapInArrow(strings, "k binary, p binary, c long, d binary, s int")
+    twice = many.groupBy("k", "d").agg(F.sum("c").alias("n")).filter("n > 1").select("k", "d")
+    by_string = many.join(twice, ["k", "d"], "left_semi").groupBy("k", "p").agg(F.sort_array(F.collect_list("s")).alias("at")).select("k", "p", F.flatten(F.transform("at", lambda s: F.array(s, s + length))).alias("spans"))
+    of_pieces = few.mapInArrow(solver(length, pa.binary()), "k binary, p binary, spans array<int>").union(by_string).filter(F.size("spans") > 0)
+    pairs = F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.struct((F.get("spans", i) + F.col("s")).alias("lo"), (F.get("spans", i + 1) + F.col("s")).alias("hi")))
+    back = cut_pieces.filter("c = 1").select("k", "p", "a", "f", "s").join(of_pieces, ["k", "p"]).select("a", "f", pairs.alias("pairs"))
+    spread = back.groupBy("a", "f").agg(F.sort_array(F.flatten(F.collect_list("pairs"))).alias("pairs")).select("a", "f", F.flatten(F.transform("pairs", lambda x: F.array(x["lo"], x["hi"]))).alias("spans"))
     whole = some.join(sizes.filter(F.col("size") > most), "a").filter("c > 1").select("a", "f", F.array(F.lit(0), F.lit(-1)).alias("spans"))
     classes = solved.union(spread).union(whole).filter(F.size("spans") > 0)
 

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lodestar.llm.suffix_dedup import Suffixes, covered, fragments, op1_suffix_dedup, repeated, repeats, sliding_min
+from lodestar.llm.suffix_dedup import Suffixes, covered, fragments, op1_suffix_dedup, pieces_of, repeated, repeats, sliding_min
 
 
 def plain(rows, length):
@@ -80,13 +80,27 @@ def test_suffix_sort_against_plain_sort():
             assert x[:n] == y[:n] and (n == min(len(x), len(y)) or x[n] != y[n])
 
 
+def test_pieces_hold_each_string_once_and_share_their_core():
+    rnd = random.Random(8)
+    for _ in range(100):
+        data = bytes(rnd.choices(b"abc", k=rnd.randrange(30, 90)))
+        at = rnd.randrange(0, len(data) - 10)
+        seen = []
+        for block, lo, hi, core in pieces_of(at, data, 30, 8):
+            assert len(core) == 23 and hi - lo < 8
+            for s in range(lo, hi + 1):
+                assert core in data[s : s + 30] and (at - s) // 8 == block
+                seen.append(s)
+        assert sorted(seen) == list(range(len(data) - 29))
+
+
 def test_repeated_and_covered():
     got = repeated([(5, 3, b"xxxABCDEyy"), (5, 2, b"zxABCDEq"), (9, 0, b"ABCDE")], 6)
     assert [g.tolist() for g in got] == [[2], [1], []]
     assert covered(np.array([0, 1, 5, 30]), 6) == [0, 11, 30, 36] and covered(np.array([], dtype=int), 6) == []
 
 
-@pytest.mark.parametrize("most", [4096, 2])
+@pytest.mark.parametrize("most", [4096, 8, 1])
 def test_against_counting_all_strings(spark, most):
     rows = corpus(random.Random(5))
     assert run(spark, rows, 40, gram=12, most=most) == plain(rows, 40)
