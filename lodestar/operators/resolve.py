@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.names import company_key_udf, company_udf, firm_key_udf, slug
 from lodestar.functions.similarity import compare_udf, indel_udf
-from lodestar.operators.graph import Clusters
+from lodestar.operators.graph import Clusters, settled
 
 #: How sure an answer must be, and for a company pair with a word added.
 SURE, SURER = 0.85, 0.95
@@ -80,7 +80,7 @@ class Resolution:
             self.review.append({"id": question, "kind": kind, "a": a, "b": b, "detail": detail})
 
 
-def _fold(kind: str, keys: list[str], apart, given, pairs: DataFrame, decisions: Decisions, cases: dict[str, frozenset] | None = None) -> Resolution:
+def _fold(kind: str, keys: list[str], apart, given, pairs: DataFrame, decisions: Decisions, fragments: list[tuple[str, str]] | None = None) -> Resolution:
     out = Resolution(Clusters())
     for k in keys:
         out.clusters.root(k)
@@ -91,24 +91,43 @@ def _fold(kind: str, keys: list[str], apart, given, pairs: DataFrame, decisions:
     for r in pairs.select("a", "b", "v.verdict", "v.detail").orderBy("a", "b").collect():  # distinct key pairs, not rows
         same_from = SURER if kind == "company" and r.detail == "a word added or dropped" else SURE
         out.settle(kind, r.a, r.b, r.verdict, r.detail, decisions, same_from)
-    if cases is not None:
-        short_forms(out, cases)
+    if fragments is not None:
+        short_forms(out, fragments)
     return out
 
 
-def short_forms(found: Resolution, cases: dict[str, frozenset]) -> None:
+def short_forms(found: Resolution, fragments: list[tuple[str, str]]) -> None:
     """A name two words or more shorter than the only cluster it begins is that cluster's short form; a name that
-    ends another is its fragment if all of its cases are that one's."""
+    ends another (fragments) joins it."""
     roots = sorted(found.clusters.groups())
-    words = {r: r.split() for r in roots}
+    begins: dict[str, list[str]] = {}
     for r in roots:
-        if len(words[r]) >= 2:
-            longer = [s for s in roots if len(words[s]) >= len(words[r]) + 2 and words[s][: len(words[r])] == words[r]]
-            if len({found.clusters.root(s) for s in longer}) == 1:
-                found.clusters.union(r, longer[0], "short form")
-            for s in roots:
-                if len(words[s]) > len(words[r]) and words[s][-len(words[r]) :] == words[r] and cases.get(r, frozenset()) <= cases.get(s, frozenset()) and cases.get(r):
-                    found.clusters.union(r, s, "fragment")
+        words = r.split()
+        for n in range(2, len(words) - 1):
+            begins.setdefault(" ".join(words[:n]), []).append(r)
+    for r in roots:
+        if len({found.clusters.root(s) for s in begins.get(r, ())}) == 1:
+            found.clusters.union(r, begins[r][0], "short form")
+    for short, long in sorted(fragments):
+        found.clusters.union(short, long, "fragment")
+
+
+def fragment_pairs(keyed: DataFrame) -> DataFrame:
+    """short, long: keys of two words or more that end another, all of whose cases are that one's. keyed: key, case_id."""
+    held = keyed.select("key", "case_id").distinct()
+    keys = held.select("key").distinct()
+    parts = F.split("key", " ")
+    ends = F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), " "))
+    longer = keys.filter(F.size(parts) > 2).select(F.col("key").alias("long"), F.explode(ends).alias("short"))
+    pairs = longer.join(keys.select(F.col("key").alias("short")), "short")
+    apart = pairs.join(held.select(F.col("key").alias("short"), "case_id"), "short").join(held.select(F.col("key").alias("long"), "case_id"), ["long", "case_id"], "left_anti")
+    return pairs.join(apart.select("short", "long").distinct(), ["short", "long"], "left_anti")
+
+
+def keyed_by(seen: DataFrame, key) -> DataFrame:
+    """seen with the key of its spelling, computed once for each spelling; rows without a key go."""
+    keys = seen.select("spelling").distinct().withColumn("key", key).filter("key <> ''")
+    return settled(seen.join(keys, "spelling"), "keyed")  # read several times
 
 
 def entities(spark: SparkSession, seen: DataFrame, found: Resolution, prefix: str) -> DataFrame:
@@ -129,10 +148,11 @@ def entities(spark: SparkSession, seen: DataFrame, found: Resolution, prefix: st
 
 def resolve_firms(spark: SparkSession, seen: DataFrame, decisions: Decisions | None = None, apart=(), given=()) -> tuple[DataFrame, Resolution]:
     """seen: spelling, case_id, ord."""
-    keyed = seen.withColumn("key", firm_key_udf("spelling")).filter("key <> ''")
+    keyed = keyed_by(seen, firm_key_udf("spelling"))
     pairs = candidate_pairs(keyed).withColumn("v", compare_udf("a", "b"))
-    held = keyed.groupBy("key").agg(F.collect_set("case_id").alias("cases")).collect()  # keys and their cases: the merge fold's input
-    found = _fold("firm", sorted(r.key for r in held), apart, given, pairs, decisions or Decisions(), {r.key: frozenset(r.cases) for r in held})
+    keys = sorted(r.key for r in keyed.select("key").distinct().collect())
+    ends = [(r.short, r.long) for r in fragment_pairs(keyed).collect()]
+    found = _fold("firm", keys, apart, given, pairs, decisions or Decisions(), ends)
     return entities(spark, keyed, found, "firm"), found
 
 
