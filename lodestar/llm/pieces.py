@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestar.llm.common import read_table
 
@@ -410,6 +411,20 @@ def decode(ids: np.ndarray, vocab: Vocabulary) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
+@functools.lru_cache(maxsize=2)
+def spelled(name: str) -> list[bytes]:
+    """The bytes that each piece stands for, by id."""
+    vocab = Vocabulary.load(name, 1.0)
+    first = vocab.first_byte
+    return [bytes([i - first]) if first <= i < first + 256 else p.replace(MARK, " ").encode() for i, p in enumerate(vocab.pieces)]
+
+
+def text_of(ids: np.ndarray, spelling: list[bytes]) -> str:
+    """The text of a sequence of piece ids; bytes that are no UTF-8 become U+FFFD."""
+    text = b"".join(map(spelling.__getitem__, ids.tolist())).decode(errors="replace")
+    return text[1:] if text.startswith(" ") else text
+
+
 SCHEMA = "rank int, ids binary, n_pieces int, logp double, inclusion double"
 
 
@@ -438,12 +453,33 @@ def encode(docs: DataFrame, key: str, text: str, k: int = 2, model: str = "piece
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owners)), *(pa.array(x, t) for x, t in zip(a, kinds, strict=True))], names=["id", "rank", "ids", "n_pieces", "logp", "inclusion"])
                 start, held = i + 1, 0
 
-    from pyspark.sql.types import StructType
-
     return rows.mapInArrow(run, StructType([*rows.select("id").schema.fields, *StructType.fromDDL(SCHEMA).fields]))
 
 
+def decode_table(rows: DataFrame, ids: str, name: str = "text", model: str = "piece_bpe_32k.model") -> DataFrame:
+    """The columns of rows and, as `name`, the text of each row's ids (as encode() gives them); null ids, null text."""
+    columns = rows.columns
+    inner = rows.toDF(*[f"c{i}" for i in range(len(columns))])
+    at = columns.index(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelling = spelled(model)
+        for batch in batches:
+            start, held, texts = 0, 0, []
+            for i, value in enumerate(batch.column(at)):
+                raw = value.as_buffer()
+                texts.append(None if raw is None else text_of(np.frombuffer(raw, dtype="<u2"), spelling))
+                held += len(texts[-1] or "")
+                if held < SLICE and i + 1 < batch.num_rows:
+                    continue
+                part = batch.slice(start, i + 1 - start)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded_"])
+                start, held, texts = i + 1, 0, []
+
+    return inner.mapInArrow(run, StructType([*inner.schema.fields, *StructType.fromDDL("decoded_ string").fields])).toDF(*columns, name)
+
+
 def op3_pieces(spark, sf_dir: str) -> DataFrame:
-    """Two segmentations of each document."""
-    found = encode(read_table(spark, sf_dir, "documents"), "doc_id", "text")
-    return found.select(F.col("id").alias("doc_id"), "rank", "n_pieces", F.crc32("ids").alias("ids_crc32"), "logp", "inclusion")
+    """Two segmentations of each document, each decoded again."""
+    found = decode_table(encode(read_table(spark, sf_dir, "documents"), "doc_id", "text"), "ids")
+    return found.select(F.col("id").alias("doc_id"), "rank", "n_pieces", F.crc32("ids").alias("ids_crc32"), "logp", "inclusion", F.sha2("text", 256).alias("decoded_sha256"))

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lodestar.llm.pieces import Lattice, Vocabulary, decode, encode, gumbel_below, samples, split_words, uniform
+from lodestar.llm.pieces import Lattice, Vocabulary, decode, decode_table, encode, gumbel_below, op3_pieces, samples, spelled, split_words, text_of, uniform
 
 VOCAB = Vocabulary.load("piece_bpe_32k.model", 1.0)
 
@@ -130,3 +130,31 @@ def test_edges(spark):
     assert all(decode(np.frombuffer(r.ids, dtype="<u2"), VOCAB) == rows[5][1] and 0 <= r.inclusion <= 1 for r in got[4])
     assert sorted(r.rank for r in got[None]) == [1, 2, 3]
     assert encode(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_text_of_is_decode():
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choices(["a", " ", "▁", "é", "🙂", "\n", "the"], k=20)) for _ in range(50)]
+    for found, _ in samples(texts, seeds(50), 2, VOCAB):
+        assert all(text_of(ids, spelled("piece_bpe_32k.model")) == decode(ids, VOCAB) for ids, *_ in found)
+    assert text_of(np.array([VOCAB.first_byte + 0xC3]), spelled("piece_bpe_32k.model")) == "\ufffd"
+
+
+def test_table_is_decoded(spark):
+    rows = [(1, None), (2, ""), (3, " a▁b  é🙂\n"), (None, "the cat"), (4, "word " * 1_000_000)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    found = encode(df, "id", "text", k=2).withColumnRenamed("id", "decoded_")
+    got = {(r.decoded_, r.text) for r in decode_table(found, "ids").collect()}
+    assert got == {(k, t or "") for k, t in rows}
+    nulls = spark.createDataFrame([(None,), (b"",)], "ids binary")
+    assert {r.text for r in decode_table(nulls, "ids").collect()} == {None, ""}
+    assert decode_table(found.limit(0), "ids").count() == 0
+
+
+def test_query_decodes_every_row(spark):
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.001"
+    want = {r.doc_id: r.sha for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("sha")).collect()}
+    rows = op3_pieces(spark, sf).collect()
+    assert {r.doc_id for r in rows} == set(want) and all(r.decoded_sha256 == want[r.doc_id] for r in rows)
