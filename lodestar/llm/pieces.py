@@ -414,9 +414,12 @@ def decode(ids: np.ndarray, vocab: Vocabulary) -> str:
 @functools.lru_cache(maxsize=2)
 def spelled(name: str) -> list[bytes]:
     """The bytes that each piece stands for, by id."""
-    vocab = Vocabulary.load(name, 1.0)
-    first = vocab.first_byte
-    return [bytes([i - first]) if first <= i < first + 256 else p.replace(MARK, " ").encode() for i, p in enumerate(vocab.pieces)]
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
+    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    return [bytes([int(p[1:-1], 16)]) if model.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
 
 
 def text_of(ids: np.ndarray, spelling: list[bytes]) -> str:
@@ -428,8 +431,11 @@ def text_of(ids: np.ndarray, spelling: list[bytes]) -> str:
 SCHEMA = "rank int, ids binary, n_pieces int, logp double, inclusion double"
 
 
-def encode(docs: DataFrame, key: str, text: str, k: int = 2, model: str = "piece_bpe_32k.model", alpha: float = 1.0, seed: int = 1) -> DataFrame:
-    """id, rank (from 1), ids (little-endian unsigned 16-bit), n_pieces, logp and inclusion: up to k rows per row of docs."""
+def encode(docs: DataFrame, key: str, text: str, k: int = 2, model: str = "piece_bpe_32k.model", alpha: float = 1.0, seed: int = 1, decode: bool = False) -> DataFrame:
+    """id, rank (from 1), ids (little-endian unsigned 16-bit), n_pieces, logp and inclusion: up to k rows per row of docs.
+
+    With `decode` also decoded, as decode_table() gives it, made from the ids in the same pass.
+    """
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.lit(seed), F.to_json(F.struct(F.col(key).alias("k")))).alias("s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,33 +459,38 @@ def encode(docs: DataFrame, key: str, text: str, k: int = 2, model: str = "piece
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owners)), *(pa.array(x, t) for x, t in zip(a, kinds, strict=True))], names=["id", "rank", "ids", "n_pieces", "logp", "inclusion"])
                 start, held = i + 1, 0
 
-    return rows.mapInArrow(run, StructType([*rows.select("id").schema.fields, *StructType.fromDDL(SCHEMA).fields]))
+    shape = StructType([*rows.select("id").schema.fields, *StructType.fromDDL(SCHEMA).fields])
+    if not decode:
+        return rows.mapInArrow(run, shape)
+    return rows.mapInArrow(lambda batches: decoded(run(batches), 2, model), StructType([*shape.fields, *StructType.fromDDL("decoded string").fields]))
+
+
+def decoded(batches: Iterator[pa.RecordBatch], at: int, model: str) -> Iterator[pa.RecordBatch]:
+    """The batches with the texts of the ids in column `at` as one more column."""
+    spelling = spelled(model)
+    for batch in batches:
+        start, held, texts = 0, 0, []
+        for i, value in enumerate(batch.column(at)):
+            raw = value.as_buffer()
+            texts.append(None if raw is None else text_of(np.frombuffer(raw, dtype="<u2"), spelling))
+            held += len(texts[-1] or "")
+            if held < SLICE and i + 1 < batch.num_rows:
+                continue
+            part = batch.slice(start, i + 1 - start)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            start, held, texts = i + 1, 0, []
 
 
 def decode_table(rows: DataFrame, ids: str, name: str = "text", model: str = "piece_bpe_32k.model") -> DataFrame:
     """The columns of rows and, as `name`, the text of each row's ids (as encode() gives them); null ids, null text."""
     columns = rows.columns
-    inner = rows.toDF(*[f"c{i}" for i in range(len(columns))])
     at = columns.index(ids)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelling = spelled(model)
-        for batch in batches:
-            start, held, texts = 0, 0, []
-            for i, value in enumerate(batch.column(at)):
-                raw = value.as_buffer()
-                texts.append(None if raw is None else text_of(np.frombuffer(raw, dtype="<u2"), spelling))
-                held += len(texts[-1] or "")
-                if held < SLICE and i + 1 < batch.num_rows:
-                    continue
-                part = batch.slice(start, i + 1 - start)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded_"])
-                start, held, texts = i + 1, 0, []
-
-    return inner.mapInArrow(run, StructType([*inner.schema.fields, *StructType.fromDDL("decoded_ string").fields])).toDF(*columns, name)
+    inner = rows.toDF(*[f"c{i}" for i in range(len(columns))])
+    shape = StructType([*inner.schema.fields, *StructType.fromDDL("decoded string").fields])
+    return inner.mapInArrow(lambda batches: decoded(batches, at, model), shape).toDF(*columns, name)
 
 
 def op3_pieces(spark, sf_dir: str) -> DataFrame:
     """Two segmentations of each document, each decoded again."""
-    found = decode_table(encode(read_table(spark, sf_dir, "documents"), "doc_id", "text"), "ids")
-    return found.select(F.col("id").alias("doc_id"), "rank", "n_pieces", F.crc32("ids").alias("ids_crc32"), "logp", "inclusion", F.sha2("text", 256).alias("decoded_sha256"))
+    found = encode(read_table(spark, sf_dir, "documents"), "doc_id", "text", decode=True)
+    return found.select(F.col("id").alias("doc_id"), "rank", "n_pieces", F.crc32("ids").alias("ids_crc32"), "logp", "inclusion", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -146,6 +146,7 @@ def test_table_is_decoded(spark):
     found = encode(df, "id", "text", k=2).withColumnRenamed("id", "decoded_")
     got = {(r.decoded_, r.text) for r in decode_table(found, "ids").collect()}
     assert got == {(k, t or "") for k, t in rows}
+    assert {(r.id, r.decoded) for r in encode(df, "id", "text", k=2, decode=True).collect()} == got
     nulls = spark.createDataFrame([(None,), (b"",)], "ids binary")
     assert {r.text for r in decode_table(nulls, "ids").collect()} == {None, ""}
     assert decode_table(found.limit(0), "ids").count() == 0
