@@ -2,7 +2,8 @@
 
 Each learned n-gram is put into a Bloom filter for its language. The filters are bit-sliced: all languages
 share the slots, and a slot holds one bit per language, so one probe of an n-gram (the AND of a few slots)
-returns the set of all languages that contain it. A text's language is the one with most n-grams, after the
+returns the set of all languages that contain it; beyond 64 languages a slot has further words of 64 bits, so that
+every label value is learned. A text's language is the one with most n-grams, after the
 expected false positives of its filter are taken off the popcount.
 
 Learning reads, for each language, all documents up to `sample` and beyond that a share that comes to `sample` of
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import fold, key_text, read_table
 
 UNKNOWN = "und"
-MOST_LANGUAGES = 64
+#: Languages to a word of a slot.
+WORD = 64
 SIZES = (3, 4)
 PROBES = 3
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -69,39 +71,47 @@ def grams(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Filters:
-    """Bit-sliced Bloom filters: slots[i] has bit l set if some n-gram of language l falls there."""
+    """Bit-sliced Bloom filters: slots[i] has bit l set if some n-gram of language l falls there.
+
+    From language 64 on the bits are in `further`, one array like slots for each 64 languages.
+    """
 
     languages: tuple[str, ...]
     slots: np.ndarray
     false_rate: np.ndarray
+    further: tuple[np.ndarray, ...] = ()
 
     @staticmethod
     def build(by_language: dict[str, np.ndarray], bits: int) -> Filters:
         names = tuple(sorted(by_language))
-        kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if max(1, len(names)) <= n)
-        slots = np.zeros(1 << bits, dtype=kind)
+        kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if min(max(1, len(names)), WORD) <= n)
+        words = [np.zeros(1 << bits, dtype=kind) for _ in range(max(1, -(-len(names) // WORD)))]
         for i, name in enumerate(names):
             for at in probes(by_language[name], bits):
-                slots[at] |= kind(1 << i)
-        full = np.array([((slots >> kind(i)) & kind(1)).mean() for i in range(len(names))])
-        return Filters(names, slots, full**PROBES)
-
-    def masks(self, hashes: np.ndarray) -> np.ndarray:
-        """For each n-gram, the set of languages that have it."""
-        bits = int(len(self.slots)).bit_length() - 1
+                words[i // WORD][at] |= kind(1 << i % WORD)
+        full = np.array([((words[i // WORD] >> kind(i % WORD)) & kind(1)).mean() for i in range(len(names))])
+        return Filters(names, words[0], full**PROBES, tuple(words[1:]))
+
+    def masks(self, hashes: np.ndarray, word: int = 0) -> np.ndarray:
+        """For each n-gram, the set of languages that have it, of the 64 languages of a word."""
+        slots = self.further[word - 1] if word else self.slots
+        bits = int(len(slots)).bit_length() - 1
         first, *rest = probes(hashes, bits)
-        out = self.slots[first]
+        out = slots[first]
         for at in rest:
-            out &= self.slots[at]
+            out &= slots[at]
         return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
         hashes = grams(text) if text else np.zeros(0, dtype=np.uint64)
         if not len(hashes) or not self.languages:
             return UNKNOWN, 0.0
-        found, n = self.masks(hashes), len(hashes)
-        one = found.dtype.type(1)
-        hits = np.array([np.count_nonzero(found & (one << found.dtype.type(i))) for i in range(len(self.languages))], dtype=float)
+        n, counts = len(hashes), []
+        for word in range(1 + len(self.further)):
+            found = self.masks(hashes, word)
+            one = found.dtype.type(1)
+            counts += [np.count_nonzero(found & (one << found.dtype.type(i))) for i in range(min(WORD, len(self.languages) - word * WORD))]
+        hits = np.array(counts, dtype=float)
         share = np.clip((hits - n * self.false_rate) / (n * np.maximum(1 - self.false_rate, 1e-9)), 0.0, 1.0)
         best = int(np.argmax(share))
         return self.languages[best], float(share[best])
@@ -113,13 +123,11 @@ def probes(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def learn(docs: DataFrame, key: str, text: str, lang: str, sample: int = 1500, most_grams: int = 150_000, least: int = 2, bits: int = 22) -> Filters:
-    """Filters from the rows of docs that have text and language."""
+    """Filters from the rows of docs that have text and language, for every language there is."""
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.xxhash64(key_text(F.col(key)), F.col(lang).cast("string")).alias("h"), F.col(text).cast("string").alias("text"))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    share = F.lit(None).cast("double")
-    for r in sizes:  # at most 64
-        share = F.when(F.col("lang") == r.lang, min(1.0, sample / r["count"])).otherwise(share)
-    texts = known.filter(F.shiftrightunsigned("h", 11) < share * 2.0**53).select("lang", "text")
+    shares = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count(F.lit(1))).alias("share"))
+    # one row a language, far smaller than the model
+    texts = known.join(F.broadcast(shares), "lang").filter(F.shiftrightunsigned("h", 11) < F.col("share") * 2.0**53).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
@@ -143,14 +151,16 @@ def learn(docs: DataFrame, key: str, text: str, lang: str, sample: int = 1500, m
 
     counts = texts.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     kept = counts.toArrow()  # what the sample repeats
-    lang_of, gram, n = np.array(kept.column(0).to_pylist(), dtype=object), kept.column(1).to_numpy().view(np.uint64), kept.column(2).to_numpy()
-    order = np.lexsort((gram, -n))
-    return Filters.build({name: gram[order[lang_of[order] == name][:most_grams]] for name in set(lang_of)}, bits)
+    langs = kept.column(0).combine_chunks().dictionary_encode()
+    code, gram, n = langs.indices.to_numpy(), kept.column(1).to_numpy().view(np.uint64), kept.column(2).to_numpy()
+    order = np.lexsort((gram, -n, code))
+    bounds = np.searchsorted(code[order], np.arange(len(langs.dictionary) + 1))
+    return Filters.build({name: gram[order[bounds[i] : bounds[i + 1]][:most_grams]] for i, name in enumerate(langs.dictionary.to_pylist())}, bits)
 
 
 def predict(docs: DataFrame, text: str, filters: Filters, keep: list[str]) -> DataFrame:
     """The columns in keep, with lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # at most 2**bits slots of 8 bytes
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2**bits slots of 8 bytes for each 64 languages
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

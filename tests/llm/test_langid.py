@@ -43,3 +43,15 @@ def test_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in rows)
     held = [r for r in rows if r.held_out]
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.97
+
+
+def test_more_languages_than_bits_of_a_word(spark):
+    rng = np.random.default_rng(1)
+    # language i is the more frequent the smaller i; each has letters of its own
+    words = {f"l{i:03}": ["".join(chr(0x4E00 + 40 * i + int(c)) for c in rng.integers(0, 40, 4)) for _ in range(20)] for i in range(140)}
+    rows = [(1000 * i + j, " ".join(rng.choice(w, 60).tolist()), name) for i, (name, w) in enumerate(words.items()) for j in range(3 if i < 70 else 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = learn(df, "doc_id", "text", "lang", bits=16)
+    assert set(model.languages) == set(words)
+    got = {r.doc_id: r.lang_pred for r in predict(df, "text", model, ["doc_id"]).collect()}
+    assert got == {k: name for k, _, name in rows}
