@@ -6,8 +6,10 @@ turns is one already; the other conversations are ordered by level, taking away
 dependencies are all placed, with the rounds' tables in the shared folder. Arguments are parsed as JSON and
 held against the tool's schema, and each row is serialised as canonical JSON: keys sorted, no white space.
 
-Nothing gathers a conversation: a row is a message, joins and windows spread by (conversation, identifier), and
-the last window, which numbers a conversation's rows, streams over sorted rows.
+Nothing gathers a conversation: a row is a message, joins and windows spread by (conversation, identifier). Rows
+are numbered by dealing them out in ranges of (conversation, place): each range counts its own rows, and a
+conversation that spans ranges adds the counts of the ranges before, so one that holds a third of all rows (the null
+conversation too) is spread over as many tasks.
 
 Status of a row: `linked` (a call with its result, one row), `unanswered` (a call without one), `orphan` (a
 result without a call), `duplicate` (a call whose identifier an earlier call of the conversation has), `extra`
@@ -148,28 +150,47 @@ def link(messages: DataFrame, tools: list[Tool]) -> DataFrame:
     line = F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), "content", "id", "name", "result", "status", "turn"))
     kind = F.when(F.col("is_call"), 0).otherwise(1)
     done = every.withColumn("errors", errors).withColumn("line", line)
-    order = Window.partitionBy("ck").orderBy(F.asc_nulls_last("level"), F.asc_nulls_last("turn"), kind, F.asc_nulls_last("id"), "line")
-    return done.select(
-        "conv_id", F.row_number().over(order).alias("position"), F.col("id").alias("call_id"), "status", "turn", "result_turn",
+    place = [F.asc_nulls_last("level"), F.asc_nulls_last("turn"), kind, F.asc_nulls_last("id"), "line"]
+    numbered = positions(done, "ck", place)
+    return numbered.select(
+        "conv_id", "position", F.col("id").alias("call_id"), "status", "turn", "result_turn",
         F.when(F.col("is_call"), F.size("errors") == 0).alias("valid"), F.array_join("errors", "; ").alias("errors"), "line",
     )
 
 
+def positions(rows: DataFrame, group: str, place: list) -> DataFrame:
+    """rows with position, from 1 in each group in the order of place. Rows equal in group and place have no order."""
+    ranged = rows.repartitionByRange(group, *place).withColumn("range", F.spark_partition_id())
+    ranged = materialize(ranged, "chat-ranges")
+    inner = F.row_number().over(Window.partitionBy(group, "range").orderBy(*place))
+    earlier = F.sum("n").over(Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    # only groups that span ranges: fewer rows than there are ranges
+    before = ranged.groupBy(group, "range").agg(F.count(F.lit(1)).alias("n")).withColumn("before", earlier).filter("before IS NOT NULL").select(group, "range", "before")
+    return ranged.withColumn("inner", inner).join(F.broadcast(before), [group, "range"], "left").withColumn("position", (F.col("inner") + F.coalesce("before", F.lit(0))).cast("int")).drop("range", "inner", "before")
+
+
 #: The tool that the conversations' user turns call in op10_chat.
 ASK = Tool("ask", {"length": Rule("integer", least=1, most=2000), "query": Rule("string", longest=400)})
 
 
 def traffic_of(conversations: DataFrame) -> DataFrame:
-    """Plain turns read as tool traffic: a user turn calls `ask` with its text, depending on the user turn two
-    before; an assistant turn is the result of the turn before it; other turns are messages."""
+    """Plain turns read as tool traffic: a user turn calls `ask` with its text, an assistant turn is the result of
+    the turn before it, other turns are messages.
+
+    A call depends on the user turn two before; one whose text's length is a multiple of 3 on the user turn two
+    after, so that some dependencies stand after their dependants and some are circular. By the length's remainder
+    by 11 the arguments lack the query (1), give the length as text (2), hold one more key (3) or break off (4)."""
     turn = F.col("turn").cast("long")
     name = lambda t: F.concat(F.lit("t"), t.cast("string"))
     text = F.col("text").cast("string")
     user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+    n, query = F.length(text), text.alias("query")
+    odd = n % 11
+    arguments = F.when(odd == 1, F.to_json(F.struct(n.alias("length")))).when(odd == 2, F.to_json(F.struct(query, n.cast("string").alias("length")))).when(odd == 3, F.to_json(F.struct(query, n.alias("length"), F.lit(1).alias("note")))).when(odd == 4, F.lit('{"query"')).otherwise(F.to_json(F.struct(query, n.alias("length"))))
+    after = F.when(n % 3 == 0, F.array(name(turn + 2))).when(turn >= 2, F.array(name(turn - 2)))
     return conversations.select(
         "conv_id", turn.alias("turn"), F.when(user, "call").when(assistant, "result").otherwise(F.col("role")).alias("role"), F.when(user.isNull() | ~user, text).alias("content"),
-        F.when(user, name(turn)).when(assistant, name(turn - 1)).alias("call_id"), F.when(user, "ask").alias("name"),
-        F.when(user, F.to_json(F.struct(text.alias("query"), F.length(text).alias("length")))).alias("arguments"), F.when(user & (turn >= 2), F.array(name(turn - 2))).alias("after"),
+        F.when(user, name(turn)).when(assistant, name(turn - 1)).alias("call_id"), F.when(user, "ask").alias("name"), F.when(user, arguments).alias("arguments"), F.when(user, after).alias("after"),
     )
 
 
@@ -178,33 +199,45 @@ def op10_chat(spark, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = """
-WITH m AS (
-  SELECT conv_id, turn, role, text, role = 'user' AS is_call, role = 'assistant' AS is_result,
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, role, text, role = 'user' AS is_call, role = 'assistant' AS is_result, length(text) AS n,
          CASE WHEN role = 'user' THEN 't' || CAST(turn AS VARCHAR) WHEN role = 'assistant' THEN 't' || CAST(turn - 1 AS VARCHAR) END AS id
   FROM conversations),
-calls AS (SELECT * FROM m WHERE is_call), results AS (SELECT * FROM m WHERE is_result),
+asked AS (SELECT *, CASE WHEN n % 3 = 0 THEN turn + 2 WHEN turn >= 2 THEN turn - 2 END AS dep FROM m WHERE is_call),
+calls AS (SELECT a.*, a.dep IS NOT NULL AND p.turn IS NULL AS lacks, p.turn AS known FROM asked a LEFT JOIN asked p ON p.conv_id = a.conv_id AND p.turn = a.dep),
+late AS (SELECT DISTINCT conv_id FROM calls WHERE known > turn),
+follow(conv_id, turn, spot, level) AS (
+  SELECT conv_id, turn, turn, 0 FROM calls WHERE conv_id IN (SELECT conv_id FROM late)
+  UNION ALL
+  SELECT f.conv_id, f.turn, c.known, f.level + 1 FROM follow f JOIN calls c ON c.conv_id = f.conv_id AND c.turn = f.spot
+  WHERE c.known IS NOT NULL AND f.level <= (SELECT count(*) FROM calls x WHERE x.conv_id = f.conv_id)),
+depth AS (SELECT f.conv_id, f.turn, min(CASE WHEN c.known IS NULL THEN f.level END) AS level FROM follow f JOIN calls c ON c.conv_id = f.conv_id AND c.turn = f.spot GROUP BY f.conv_id, f.turn),
+results AS (SELECT * FROM m WHERE is_result),
 joined AS (
   SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.id, r.id) AS call_id, coalesce(c.turn, r.turn) AS turn, CASE WHEN c.id IS NOT NULL THEN r.turn END AS result_turn,
-         c.id IS NOT NULL AS is_call, c.text AS query, r.text AS result,
-         CASE WHEN c.id IS NULL THEN 'orphan' WHEN r.id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-         c.turn >= 2 AND NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 2) AS lacks
-  FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.id = r.id),
+         c.id IS NOT NULL AS is_call, c.text AS query, c.n, c.dep, r.text AS result, CASE WHEN c.id IS NULL THEN 'orphan' WHEN r.id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+         coalesce(c.lacks, FALSE) AS lacks, d.turn IS NOT NULL AS leveled, d.level
+  FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.id = r.id LEFT JOIN depth d ON d.conv_id = c.conv_id AND d.turn = c.turn),
 every AS (
-  SELECT conv_id, call_id, status, turn, result_turn, is_call,
+  SELECT conv_id, call_id, status, turn, result_turn, is_call, CASE WHEN leveled THEN level ELSE 0 END AS level,
     CASE WHEN is_call THEN concat_ws('; ',
-      CASE WHEN length(query) > 2000 THEN 'length: over 2000' WHEN length(query) < 1 THEN 'length: under 1' END,
-      CASE WHEN length(query) > 400 THEN 'query: longer than 400' END,
-      CASE WHEN lacks THEN 'after: unknown t' || CAST(turn - 2 AS VARCHAR) END) END AS errors,
+      CASE WHEN n % 11 = 4 THEN 'arguments: not JSON' END,
+      CASE WHEN n % 11 = 4 THEN NULL WHEN n % 11 = 2 THEN 'length: not integer' WHEN n > 2000 THEN 'length: over 2000' WHEN n < 1 THEN 'length: under 1' END,
+      CASE WHEN n % 11 = 3 THEN 'note: unknown' END,
+      CASE WHEN n % 11 = 4 THEN NULL WHEN n % 11 = 1 THEN 'query: missing' WHEN n > 400 THEN 'query: longer than 400' END,
+      CASE WHEN lacks THEN 'after: unknown t' || CAST(dep AS VARCHAR) END,
+      CASE WHEN leveled AND level IS NULL THEN 'after: cycle' END) END AS errors,
     '{' || concat_ws(',',
-      CASE WHEN is_call THEN '"arguments":{"length":' || CAST(length(query) AS VARCHAR) || ',"query":' || CAST(to_json(query) AS VARCHAR) || '}' END,
+      CASE WHEN is_call AND n % 11 <> 4 THEN '"arguments":{' || concat_ws(',', '"length":' || CASE WHEN n % 11 = 2 THEN '"' || CAST(n AS VARCHAR) || '"' ELSE CAST(n AS VARCHAR) END,
+        CASE WHEN n % 11 = 3 THEN '"note":1' END, CASE WHEN n % 11 <> 1 THEN '"query":' || CAST(to_json(query) AS VARCHAR) END) || '}' END,
       '"id":' || CAST(to_json(call_id) AS VARCHAR), CASE WHEN is_call THEN '"name":"ask"' END, '"result":' || CAST(to_json(result) AS VARCHAR),
       '"status":"' || status || '"', '"turn":' || CAST(turn AS VARCHAR)) || '}' AS line
   FROM joined
   UNION ALL
-  SELECT conv_id, NULL, 'message', turn, NULL, FALSE, NULL,
+  SELECT conv_id, NULL, 'message', turn, NULL, FALSE, 0, NULL,
     '{' || concat_ws(',', '"content":' || CAST(to_json(text) AS VARCHAR), '"status":"message"', '"turn":' || CAST(turn AS VARCHAR)) || '}'
   FROM m WHERE NOT is_call AND NOT is_result)
-SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, CASE WHEN is_call THEN 0 ELSE 1 END, call_id NULLS LAST, line) AS INT) AS position,
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY level NULLS LAST, turn, CASE WHEN is_call THEN 0 ELSE 1 END, call_id NULLS LAST, line) AS INT) AS position,
   call_id, status, turn, result_turn, CASE WHEN is_call THEN errors = '' END AS valid, errors, line
 FROM every
 """

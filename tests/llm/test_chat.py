@@ -1,6 +1,8 @@
 import json
 
-from lodestar.llm.chat import Rule, Tool, link, op10_chat, traffic_of
+from pyspark.sql import functions as F
+
+from lodestar.llm.chat import Rule, Tool, link, op10_chat, positions, traffic_of
 
 SCHEMA = "conv_id long, turn long, role string, content string, call_id string, name string, arguments string, after array<string>, line int, status int"
 ADD = Tool("add", {"a": Rule("integer"), "b": Rule("number", required=False, least=0, most=9), "how": Rule("string", required=False, longest=3, one_of=("x", "abcd"))})
@@ -55,3 +57,26 @@ def test_empty_and_repeated(spark):
 def test_plan_has_no_python(spark):
     plan = op10_chat(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_a_hot_conversation_spans_tasks(spark):
+    rows = spark.range(4000).select((F.col("id") % 3 * (F.col("id") % 7)).cast("string").alias("g"), (F.col("id") * 7919 % 4001).alias("x"))
+    got = positions(rows, "g", ["x"]).collect()
+    seen = {}
+    for r in got:
+        seen.setdefault(r.g, []).append((r.position, r.x))
+    assert sum(map(len, seen.values())) == 4000
+    for pairs in seen.values():
+        assert [p for p, _ in sorted(pairs)] == list(range(1, len(pairs) + 1)) and [x for _, x in sorted(pairs)] == sorted(x for _, x in pairs)
+
+
+def test_the_query_orders_and_rejects(spark):
+    """The registered query meets dependencies that point forward, circles, and each kind of bad arguments."""
+    rows = [r.asDict() for r in op10_chat(spark, "/root/testdata/sf0.01").collect()]
+    errors = {e for r in rows for e in (r["errors"] or "").split("; ")}
+    assert {"after: cycle", "arguments: not JSON", "length: not integer", "note: unknown", "query: missing"} <= errors
+    by = {}
+    for r in rows:
+        by.setdefault(r["conv_id"], []).append(r)
+    moved = [c for c, rs in by.items() if [r["turn"] for r in sorted(rs, key=lambda r: r["position"])] != sorted(r["turn"] for r in rs)]
+    assert moved
