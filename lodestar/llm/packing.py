@@ -2,9 +2,11 @@
 
 Every document is a vector (tokens, one segment, loss-bearing tokens) and every sequence a bin with a
 limit on each. The dot-product heuristic puts next the pending item whose demand points most along the
-bin's remaining capacity. Items may be cut, so a bin that no whole item fits takes a cut of the best one
-and closes full. What is left when a partition ends goes into sequences whose lengths are powers of two,
-which need no padding.
+bin's remaining capacity. Items may be cut, so a bin that no whole item fits takes a cut of the best one that
+the room left lets in. A bin that another limit closes before its tokens are full, and what is left when a partition
+ends, go into sequences whose lengths are powers of two, which need no padding.
+
+Loss-bearing ids are those after a document's prompt: its first ids, a share that the caller gives (rounded down).
 
 Packing happens inside the partitions of the input: there is no shuffle, no shared state, and memory is
 bounded by the pool of pending items. A sequence never spans two partitions; its id carries the
@@ -101,44 +103,52 @@ class Packer:
             at += length
         self.next_id += 1
 
-    def _trimmed(self, bin_) -> list[list]:
-        """A bin that isn't full, as bins whose lengths are powers of two."""
-        out, total = [], sum(p[3] for p in bin_)
-        pieces = [list(p) for p in bin_][::-1]
-        while total:
-            want = self.limits.tokens if total >= self.limits.tokens else 1 << (total.bit_length() - 1)
-            now, left = [], want
-            while left:
-                key, ids, start, length, loss_from = pieces.pop()
-                take = min(length, left)
-                now.append((key, ids, start, take, loss_from))
-                if take < length:
-                    pieces.append([key, ids, start + take, length - take, loss_from])
-                left -= take
-            out.append(now)
-            total -= want
-        return out
+    def _hold(self, item) -> None:
+        self.items.append(item)
+        if len(self.items) > len(self.size):
+            self.size = np.vstack([self.size, np.zeros_like(self.size)])
+
+    def _cut_back(self, taken: list[tuple], most: int) -> list[tuple]:
+        """The first `most` tokens of what was taken; the rest goes back to the pool. taken: (item, start, length, whole)."""
+        kept, left = [], most
+        for _, _, length, _ in taken:
+            kept.append(min(length, left))
+            left -= kept[-1]
+        for (item, start, length, whole), stays in zip(reversed(taken), reversed(kept), strict=True):
+            if stays < length:
+                item[2] = start + stays
+                if whole:
+                    self._hold(item)
+        for i, item in enumerate(self.items):
+            self.size[i] = self._demand(item)
+        return [(item, start, stays, whole) for (item, start, _, whole), stays in zip(taken, kept, strict=True) if stays]
 
     def _fill(self, last: bool) -> Iterator[tuple]:
         """Close sequences until the pool is half empty, or empty if this is the end."""
         lim = self.limits
         while self.items and (last or len(self.items) > POOL // 2):
             room = np.array([lim.tokens, lim.segments, lim.loss_tokens], dtype=float)
-            bin_ = []
+            taken = []
             while room[0] > 0 and room[1] > 0 and self.items:
                 n = len(self.items)
                 size = self.size[:n]
-                value = (size * (room * self.scale**2)).sum(axis=1)
                 fits = (size <= room).all(axis=1)
-                whole = fits.any()
-                best = int(np.argmax(np.where(fits, value, -1.0) if whole else value))
-                item = self.items[best]
-                take = len(item[1]) - item[2] if whole else self._cut(item, room)
-                if take <= 0:
+                whole = bool(fits.any())
+                if whole:
+                    value = np.where(fits, (size * (room * self.scale**2)).sum(axis=1), -1.0)
+                else:  # what each item can put into the room, cut
+                    free = size[:, 0] - size[:, 2]
+                    cut = np.minimum(np.minimum(size[:, 0], room[0]), free + room[2])
+                    put = np.column_stack((cut, np.ones(n), np.maximum(0, cut - free)))
+                    value = np.where(cut > 0, (put * (room * self.scale**2)).sum(axis=1), -1.0)
+                best = int(np.argmax(value))
+                if value[best] < 0:
                     break
-                piece = (item[0], item[1], item[2], take, item[3])
-                bin_.append(piece)
-                room -= (take, 1, max(0, piece[2] + take - max(piece[2], item[3])))
+                item = self.items[best]
+                start = item[2]
+                take = len(item[1]) - start if whole else int(cut[best])
+                taken.append((item, start, take, whole))
+                room -= (take, 1, max(0, start + take - max(start, item[3])))
                 if whole:
                     self.items[best] = self.items[-1]
                     self.size[best] = self.size[n - 1]
@@ -146,11 +156,10 @@ class Packer:
                 else:
                     item[2] += take
                     self.size[best] = self._demand(item)
-            if room[0] > 0:  # a limit other than tokens, or the end of the data
-                for part in self._trimmed(bin_):
-                    yield from self._close(part)
-            else:
-                yield from self._close(bin_)
+            total = sum(t[2] for t in taken)
+            if total < lim.tokens:  # a limit other than tokens, or the end of the data: a power of two needs no padding
+                taken = self._cut_back(taken, 1 << (total.bit_length() - 1))
+            yield from self._close([(item[0], item[1], start, take, item[3]) for item, start, take, _ in taken])
 
     def add(self, key, ids: np.ndarray, loss_from: int = 0) -> Iterator[tuple]:
         lim, item = self.limits, [key, ids, 0, loss_from]
@@ -158,9 +167,9 @@ class Packer:
             yield from self._close([(key, ids, item[2], lim.tokens, loss_from)])
             item[2] += lim.tokens
         if item[2] < len(ids):
-            self.items.append(item)
+            self._hold(item)
             self.size[len(self.items) - 1] = self._demand(item)
-            if len(self.items) == POOL:
+            if len(self.items) >= POOL:
                 yield from self._fill(last=False)
 
     def end(self) -> Iterator[tuple]:
@@ -174,9 +183,10 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 ARROW = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("loss_tokens", pa.int64()), ("n_segments", pa.int32())])
 
 
-def pack(docs: DataFrame, key: str, text: str, limits: Limits = Limits(), tokens: str = "byte_bpe_50k", end_id: int = 0, loss_from: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, key: str, text: str, limits: Limits = Limits(), tokens: str = "byte_bpe_50k", end_id: int = 0, loss_from: str | None = None, prompt: float = 0.0) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence, and its ids (little-endian
-    unsigned 32-bit). loss_from names a column with the number of leading ids that bear no loss."""
+    unsigned 32-bit). loss_from names a column with the number of leading ids that bear no loss; without it that is
+    the share `prompt` of a document's ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(tokens)
@@ -187,7 +197,8 @@ def pack(docs: DataFrame, key: str, text: str, limits: Limits = Limits(), tokens
             for i in range(batch.num_rows):
                 t = texts[i].as_py() or ""
                 ids = np.append(encode(t), np.uint32(end_id)).astype("<u4") if t else np.array([end_id], dtype="<u4")
-                for row in packer.add(keys[i].as_py(), ids, skips[i].as_py() or 0):
+                skip = skips[i].as_py()
+                for row in packer.add(keys[i].as_py(), ids, int(prompt * len(ids)) if skip is None else skip):
                     rows.append(row)
                     held += len(row[3]) + 80
                 if held > FLUSH:
@@ -201,16 +212,21 @@ def pack(docs: DataFrame, key: str, text: str, limits: Limits = Limits(), tokens
         if rows:
             yield _batch(rows, ARROW)
 
-    skip = F.col(loss_from).cast("long") if loss_from else F.lit(0).cast("long")
+    skip = F.coalesce(F.col(loss_from).cast("long"), F.lit(0)) if loss_from else F.lit(None).cast("long")
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), skip.alias("skip")).mapInArrow(run, SCHEMA)
 
 
+#: The limits of op5_packing and the pipeline: a sequence holds at most 1024 ids, pieces of 12 documents, and 992 ids
+#: that bear loss. PROMPT: the first eighth of a document's ids is its prompt and bears none.
+PRODUCTION, PROMPT = Limits(1024, 12, 992), 1 / 8
+
+
 def op5_packing(spark, sf_dir: str) -> DataFrame:
-    """All documents, in sequences of at most 1024 ids; every id loss-bearing."""
+    """All documents, in sequences within PRODUCTION."""
     from lodestar.llm.common import read_table
 
-    return digest(pack(read_table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return digest(pack(read_table(spark, sf_dir, "documents"), "doc_id", "text", PRODUCTION, prompt=PROMPT))
 
 
 def digest(pieces: DataFrame) -> DataFrame:
-    return pieces.select(F.col("key").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "n_segments")
+    return pieces.select(F.col("key").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "n_segments", "loss_tokens")

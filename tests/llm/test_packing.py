@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from lodestar.llm.packing import Limits, Packer, op5_packing, pack, tokenizer
+from lodestar.llm.packing import PRODUCTION, PROMPT, Limits, Packer, op5_packing, pack, tokenizer
 
 
 def rebuilt(rows, limits):
@@ -26,7 +26,7 @@ def rebuilt(rows, limits):
     return {k: b"".join(x[1] for x in sorted(v)) for k, v in docs.items()}, padding
 
 
-@pytest.mark.parametrize("limits", [Limits(), Limits(64, 3, 64), Limits(128, 500, 50)])
+@pytest.mark.parametrize("limits", [Limits(), PRODUCTION, Limits(64, 3, 64), Limits(128, 500, 50)])
 def test_packer_is_lossless_and_within_every_limit(limits):
     rnd = random.Random(5)
     packer, rows, want = Packer(limits, 7), [], {}
@@ -81,3 +81,30 @@ def test_query_against_plain_tokenizer(spark):
             at += p.length
             assert p.ids_crc32 == zlib.crc32(ids[p.start : at].tobytes())
         assert at == len(ids)
+
+
+def test_every_limit_binds_in_the_query(spark):
+    """On the query's own documents each axis alone closes sequences, and each keeps to its limit."""
+    sf = "/root/testdata/sf0.01"
+    seqs = {}
+    for r in op5_packing(spark, sf).collect():
+        x = seqs.setdefault(r.sequence_id, [0, 0, 0])
+        x[0], x[1], x[2] = x[0] + r.length, x[1] + 1, x[2] + r.loss_tokens
+    limits = (PRODUCTION.tokens, PRODUCTION.segments, PRODUCTION.loss_tokens)
+    assert all(a <= b for x in seqs.values() for a, b in zip(x, limits))
+    at = [sum(x[i] == limits[i] for x in seqs.values()) for i in range(3)]
+    print(len(seqs), at)
+    assert at[0] > 0.4 * len(seqs) and at[2] > 0
+    short = spark.createDataFrame([(i, "a few words") for i in range(400)], "doc_id long, text string")
+    few, many = (len({r.sequence_id for r in pack(short.coalesce(1), "doc_id", "text", x, prompt=PROMPT).collect()}) for x in (PRODUCTION, Limits(1024, 500, 992)))
+    assert many < 6 and few > 400 / PRODUCTION.segments
+
+
+def test_both_libraries_agree_on_every_document():
+    import public_tokenizers
+    import pyarrow.parquet as pq
+
+    slow, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), tokenizer("byte_bpe_50k")
+    slow.encode_special_tokens = True
+    for text in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist():
+        assert encode(text or "").tolist() == slow.encode(text or "", add_special_tokens=False).ids
