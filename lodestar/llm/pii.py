@@ -2,9 +2,10 @@
 
 The patterns (email, ip, card, phone) find the base spans. The CRF labels white-space tokens with one of the
 kinds or O; its features are the token's shape, digits, signs and key words, and the coarse shapes of its
-neighbours. It is trained here, from the small labelled table that training_table() writes out, by full
-forward-backward gradients, and decoded by Viterbi in numpy batches. Its spans are added where they overlap no
-base span.
+neighbours. It is trained here, from a small labelled table (tokens and labels), by full forward-backward
+gradients, and decoded by Viterbi in numpy batches. The table is the caller's, read by labelled(), or the one that
+training_table() writes out by rule. Its spans are added where they overlap no base span: addresses written out
+(name at host dot com), numbers without a plus sign, grouped otherwise or run together, addresses of the newer kind.
 
 Most tokens are plain words among plain words. For such runs the model itself tells at how many tokens from
 both ends a token is O on the best path whatever stands around the run. Those tokens split the chain exactly, and
@@ -105,10 +106,10 @@ def strip_edges(token: str) -> str:
     return token.lstrip(EDGE_LEFT).rstrip(EDGE_RIGHT)
 
 
-@functools.lru_cache(maxsize=50_000)
+@functools.lru_cache(maxsize=10_000)
 def _shape(body: str) -> str:
     out = []
-    for run in _RUN.findall(body)[:16]:
+    for run in _RUN.findall(body):
         if run[0].isdigit():
             out.append(f"d{min(len(run), 5)}")
         elif run[0].isascii() and run[0].isalpha():
@@ -128,7 +129,7 @@ def features(token: str) -> tuple[str, tuple[str, ...]]:
         return ("tld", ("tld",)) if low in TLDS else ("word", ("word",))
     digits = [c for c in body if "0" <= c <= "9"]
     n = len(digits)
-    shape = _shape(body) if len(body) <= 40 else "long"
+    shape = _shape(body) if len(body) <= 40 else "long:" + "".join(sorted(set(_shape(body))))
     bucket = "0" if n == 0 else "1-2" if n < 3 else str(n) if n in (3, 4) else "5-6" if n < 7 else "7" if n == 7 else "8-9" if n < 10 else "10" if n == 10 else "11-12" if n < 13 else "13-19" if n < 20 else "20+"
     names = [f"shape={shape}", f"digits={bucket}"]
     if "@" in body or "(at)" in low or "[at]" in low:
@@ -436,12 +437,29 @@ def training_table(n: int = 900, seed: int = 11) -> list[tuple[list[str], list[s
     return table
 
 
+def labelled(rows: DataFrame, tokens: str = "tokens", labels: str = "labels", most: int = 5000) -> list[tuple[list[str], list[str]]]:
+    """A labelled table as training rows: arrays of tokens and of labels (o or a kind, one for each token).
+
+    At most `most` rows are taken, those that hash lowest, each once; rows that are null, empty, of unequal lengths or
+    with a label that is none are left out."""
+    known = F.array(*[F.lit(x) for x in LABELS])
+    fit = rows.select(F.col(tokens).alias("t"), F.col(labels).alias("y")).filter("size(t) > 0 AND size(t) = size(y)").filter((F.size(F.array_except("y", known)) == 0) & ~F.exists("t", lambda x: x.isNull()))
+    drawn = fit.distinct().withColumn("h", F.xxhash64("t", "y")).orderBy("h").limit(most).collect()  # at most `most` rows
+    return [(list(r.t), list(r.y)) for r in drawn]
+
+
 @functools.lru_cache(maxsize=1)
-def train(steps: int = 160, rate: float = 0.15, ridge: float = 2e-4) -> Crf:
-    """The CRF that fits training_table(): Adam on the regularised log likelihood, over all sentences at once."""
-    table = training_table()
+def train() -> Crf:
+    """The CRF that fits training_table()."""
+    return fit(training_table())
+
+
+def fit(table: list[tuple[list[str], list[str]]], steps: int = 160, rate: float = 0.15, ridge: float = 2e-4) -> Crf:
+    """The CRF that fits a labelled table: Adam on the regularised log likelihood, over all sentences at once."""
+    if not table:
+        raise ValueError("no labelled rows")
     seen = [[features(t) for t in tokens] for tokens, _ in table]
-    index = {name: i for i, name in enumerate(sorted({x for s in seen for _, names in s for x in names}))}
+    index = {name: i for i, name in enumerate(sorted({"word", *(x for s in seen for _, names in s for x in names)}))}
     n, width, k = len(table), max(len(s) for s in seen), len(LABELS)
     x = np.zeros((n, width, len(index)))
     ctx = np.zeros((n, width, 2 * len(COARSE)))
@@ -515,9 +533,9 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def find(docs: DataFrame, key: str, text: str) -> DataFrame:
+def find(docs: DataFrame, key: str, text: str, model: Crf | None = None) -> DataFrame:
     """id, base and spans: the patterns' spans, and all spans, of each row."""
-    model = train()
+    model = model or train()
     rows = docs.select(F.col(key).alias("id"), text_or_empty(F.col(text)).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -543,9 +561,9 @@ def blank(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, text: str, length: str | None = None) -> DataFrame:
+def redact(docs: DataFrame, text: str, length: str | None = None, model: Crf | None = None) -> DataFrame:
     """All rows and columns of docs, the text without personal data; length names a column with its length."""
-    model, names = train(), docs.columns
+    model, names = model or train(), docs.columns
     at = names.index(text)
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
 

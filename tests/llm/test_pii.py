@@ -69,6 +69,52 @@ def test_held_out_sentences():
     assert right / total > 0.93 and extra / total < 0.05
 
 
+def held_out(model, n=400, seed=77):
+    """Spans of a labelled table that was not learned from: how many there are, found by the patterns, found with the
+    model, and found where none is."""
+    from lodestar.llm.pii import training_table
+
+    total = base_hits = hits = extra = 0
+    for tokens, labels in training_table(n, seed=seed):
+        at, want = 0, set()
+        for i, (t, y) in enumerate(zip(tokens, labels)):
+            if y != "o" and (i == 0 or labels[i - 1] != y):
+                want.add((y, at))
+            at += len(t) + 1
+        base, spans = all_spans([" ".join(tokens)], model)[0]
+        near = lambda found: sum(any(k == kind and abs(a - start) <= 3 for k, a, _ in found) for kind, start in want)  # noqa: B023, E731
+        total, base_hits, hits = total + len(want), base_hits + near(base), hits + near(spans)
+        extra += len(spans) - near(spans)
+    return total, base_hits, hits, extra
+
+
+def test_held_out_recall_over_the_patterns_alone():
+    total, base, both, extra = held_out(train())
+    print(total, base, both, extra)
+    assert base / total < 0.5 and both / total > 0.9 and extra / total < 0.06
+
+
+def test_labelled_table_is_read_as_data(spark):
+    from lodestar.llm.pii import fit, labelled, training_table
+
+    rows = [(t, y, 1) for t, y in training_table(250, seed=3)] * 2 + [(None, None, 0), (["a"], ["o", "o"], 0), (["a"], ["name"], 0), ([], [], 0), (["a", None], ["o", "o"], 0)]
+    df = spark.createDataFrame(rows, "tokens array<string>, labels array<string>, text int")
+    table = labelled(df)
+    assert len(table) == len({tuple(t) for t, _ in training_table(250, seed=3)}) and len(labelled(df, most=10)) == 10
+    model = fit(table)
+    total, base, both, _ = held_out(model, 200)
+    assert both > base and both / total > 0.8
+    got = find(spark.createDataFrame([(1, "call (212) 555-0188 now")], "id long, text string"), "id", "text", model).first()
+    assert [s.kind for s in got.spans] == ["phone"] and got.base == []
+
+
+def test_shapes_read_whole_tokens():
+    from lodestar.llm.pii import features
+
+    assert features("1." * 18 + "x")[1] != features("1." * 18 + "@")[1]
+    assert features("a1" * 30 + "@b.com")[1] != features("a1" * 30)[1]
+
+
 def test_what_the_model_adds():
     model = train()
     text = "write to jane at corp dot com or call (212) 555-0188 on 2024-01-15 about part 1234"
