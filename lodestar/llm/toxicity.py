@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick over folded text.
 
-Folding lower-cases, maps homoglyphs (Cyrillic, Greek, full-width, accented Latin) to plain letters, reads
-digits and signs inside a word as the letters they stand for, and leaves words apart by one space. The
+Folding lower-cases, maps homoglyphs (Cyrillic, Greek, full-width, accented Latin, mathematical letters) to plain
+letters, deletes combining marks and invisible characters (zero-width, soft hyphen), reads digits and signs inside a
+word as the letters they stand for, and leaves words apart by one space. The
 lexicon's terms are whole words (" word ") and word beginnings (" begi"); their weights are log odds learned
 from labelled rows. Exception phrases (a hit with its neighbour, or the whole word around a hit) that the
 labelled rows show to be clean mask the hits inside them. The hits' weights, normalised by the text's
@@ -45,7 +46,9 @@ SUBSTITUTES = dict(zip("0134578@$!|", "oieastbasil", strict=True))
 
 
 def _plain(c: str) -> str:
-    """The folded character; a space for what is not part of a word."""
+    """The folded character; a space for what is not part of a word, nothing (NUL) for what only hides one."""
+    if unicodedata.category(c) in ("Mn", "Me", "Cf"):
+        return "\0"
     c = HOMOGLYPHS.get(c, c)
     base = unicodedata.normalize("NFKD", c)[:1] if ord(c) > 127 else c
     base = HOMOGLYPHS.get(base, base).lower()[:1]
@@ -66,7 +69,14 @@ def folded(text: str | None) -> str:
     if not text:
         return ""
     raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    raw = np.where(raw < 0x10000, raw, 32)
+    if (high := raw >= 0x10000).any():  # few: each is folded by itself
+        raw = raw.copy()
+        raw[high] = [ord(_plain(chr(c))) or 0x200B for c in raw[high]]
+        raw[raw >= 0x10000] = 32  # letters of scripts that no term has
+    if (hidden := _TABLE[raw] == 0).any():
+        raw = raw[~hidden]
+    if not len(raw):
+        return ""
     cp = _TABLE[raw]
     sign = _IS_DIGIT[raw]
     if sign.any():

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -11,6 +12,28 @@ def test_folding():
     assert folded("ÉTÉ the$$$ $5") == " ete the 5 "
 
 
+def test_folding_reaches_beyond_the_basic_plane():
+    bold = "".join(chr(0x1D41A + ord(c) - 97) for c in "scum")
+    assert folded(f"you {bold} there") == " you scum there "
+    assert folded("sc\u200bu\u00adm id\u0301iot \U000E0041x \U00020000y") == " scum idiot x y "
+
+
+def test_hits_against_plain_search():
+    """The automaton finds what a search for every term at every place finds."""
+    rnd, parts = random.Random(3), ["scum", "scumbag", "idiot", "an", "trash", "can", "trashy", "x"]
+    lex = Lexicon({" scum ": 3.0, " scu": 1.0, " idi": 2.0, " trash ": 2.5}, [" trash can "])
+    for _ in range(300):
+        text = folded(" ".join(rnd.choices(parts, k=rnd.randrange(8))))
+        masked = [(i, i + 11) for i in range(len(text)) if text.startswith(" trash can ", i)]
+        want = []
+        for i in range(len(text)):
+            here = [(w, t) for t, w in lex.weights.items() if text.startswith(t, i) and not any(a <= i and i + len(t) <= b for a, b in masked)]
+            if here:
+                w, t = max(here)
+                want.append((i, t, w))
+        assert lex.hits(text) == want
+
+
 def test_hits_and_exceptions():
     lex = Lexicon({" trash ": 3.0, " idio": 2.0, " idiot ": 4.0}, [" trash can "])
     assert [h[1] for h in lex.hits(folded("an idiot, idiotic; trash can. trash!"))] == [" idiot ", " idio", " trash "]
