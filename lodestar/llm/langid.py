@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import fold, key_text, read_table
@@ -150,12 +150,13 @@ def learn(docs: DataFrame, key: str, text: str, lang: str, sample: int = 1500, m
         yield from flush()
 
     counts = texts.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    kept = counts.toArrow()  # what the sample repeats
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    kept = counts.withColumn("rank", rank).filter(F.col("rank") <= most_grams).select("lang", "gram", "n").toArrow()  # at most most_grams a language
     langs = kept.column(0).combine_chunks().dictionary_encode()
     code, gram, n = langs.indices.to_numpy(), kept.column(1).to_numpy().view(np.uint64), kept.column(2).to_numpy()
     order = np.lexsort((gram, -n, code))
     bounds = np.searchsorted(code[order], np.arange(len(langs.dictionary) + 1))
-    return Filters.build({name: gram[order[bounds[i] : bounds[i + 1]][:most_grams]] for i, name in enumerate(langs.dictionary.to_pylist())}, bits)
+    return Filters.build({name: gram[order[bounds[i] : bounds[i + 1]]] for i, name in enumerate(langs.dictionary.to_pylist())}, bits)
 
 
 def predict(docs: DataFrame, text: str, filters: Filters, keep: list[str]) -> DataFrame:

@@ -55,3 +55,31 @@ def test_more_languages_than_bits_of_a_word(spark):
     assert set(model.languages) == set(words)
     got = {r.doc_id: r.lang_pred for r in predict(df, "text", model, ["doc_id"]).collect()}
     assert got == {k: name for k, _, name in rows}
+
+
+def test_against_plain_sets(spark):
+    """With filters so wide that nothing collides the prediction is that of plain sets of n-grams."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    model = learn(docs, "doc_id", "text", "lang", least=1, bits=24)
+    rows = docs.collect()
+    sets = {}
+    for r in rows:
+        if r.text is not None and r.lang is not None:
+            sets.setdefault(r.lang, set()).update(grams(r.text).tolist())
+    names = sorted(sets)
+    got = {r.doc_id: r for r in predict(docs, "text", model, ["doc_id"]).collect()}
+    for r in rows:
+        h = grams(r.text or "").tolist()
+        share = [sum(x in sets[n] for x in h) / len(h) for n in names] if h else []
+        want = names[int(np.argmax(share))] if h else "und"
+        assert got[r.doc_id].lang_pred == want
+        assert not h or abs(got[r.doc_id].score - max(share)) < 0.02
+
+
+def test_ties_and_very_long_texts(spark):
+    same = [(i, "abc def", lang) for i, lang in enumerate(["zz", "aa", "mm"] * 2)]
+    df = spark.createDataFrame([*same, (9, "abc def " * 300000, None)], "doc_id long, text string, lang string")
+    model = learn(df, "doc_id", "text", "lang")
+    assert {(r.lang_pred, round(r.score, 3)) for r in predict(df, "text", model, ["doc_id"]).filter("doc_id < 9").collect()} == {("aa", 1.0)}
+    assert predict(df, "text", model, ["doc_id"]).filter("doc_id = 9").first().lang_pred == "aa"
