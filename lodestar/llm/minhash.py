@@ -4,7 +4,7 @@ A document's signature is `chunks` x `width` MinHash symbols of 16 bits. By the
 signatures that differ in at most THRESHOLD = 2 * chunks - 1 symbols differ in at most one symbol of some chunk.
 So each chunk is entered under a key for each symbol it may have wrong (the others as they are), and every pair
 within the threshold meets under some key. Two sets of Jaccard similarity 0.8 are further apart than that with
-a chance of about 3 in a million. Candidates within the threshold are confirmed on their full shingle sets.
+a chance of about 3 in a million (24 or more of 48 symbols, each with a chance of 0.2). Candidates within the threshold are confirmed on their full shingle sets.
 
 Nothing pairs up the members of a group. Documents of equal sets are one node. A key's bucket of two gives its
 pair. Larger buckets, dealt out in blocks of bounded size, first give a least spanning forest by signature
@@ -97,7 +97,7 @@ def shingles(text: str, width: int) -> np.ndarray:
 class Index:
     """Shape of the signatures: `chunks` chunks of `width` symbols of 16 bits."""
 
-    chunks: int = 10
+    chunks: int = 12
     width: int = 4
 
     @property
