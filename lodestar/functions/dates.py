@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: The two shapes, and what sets off a note after a date.
 YEAR_FIRST = r"^([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})(?:[ T]([0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?))?"
 MONTH_FIRST = r"^([0-9]{1,2})[-/]([0-9]{1,2})[-/]([0-9]{2,4})(?:[ T]([0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?))?"
+SWAPPED = r"^(1[3-9]|[2-9][0-9])[-/](0?[1-9]|1[0-2])[-/]([0-9]{2,4})(?:[ T]([0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?))?"
 NOTE = "  ("
 
 
@@ -26,30 +27,19 @@ def note_of(value: Column) -> Column:
 
 
 def parse(value: Column) -> Column:
-    """The instant, as TIMESTAMP_NTZ; null for what is no date."""
-    text = strip_note(value)
+    """The instant, as TIMESTAMP_NTZ; null for what is no date.
 
-    def part(shape: str, i: int) -> Column:
-        return F.nullif(F.regexp_extract(text, shape, i), F.lit(""))
-
-    first = text.rlike(YEAR_FIRST)
-    a, b = part(MONTH_FIRST, 1).cast("int"), part(MONTH_FIRST, 2).cast("int")
-    swapped = (a > 12) & (b <= 12)
-    short = part(MONTH_FIRST, 3).cast("int")
-    year = F.when(first, part(YEAR_FIRST, 1).cast("int")).otherwise(F.when(short < 100, short + 2000).otherwise(short))
-    month = F.when(first, part(YEAR_FIRST, 2).cast("int")).when(swapped, b).otherwise(a)
-    day = F.when(first, part(YEAR_FIRST, 3).cast("int")).when(swapped, a).otherwise(b)
-    clock = F.coalesce(F.when(first, part(YEAR_FIRST, 4)).otherwise(part(MONTH_FIRST, 4)), F.lit("0:00:00"))
-    clock = F.when(F.length(clock) - F.length(F.replace(clock, F.lit(":"))) == 1, F.concat(clock, F.lit(":00"))).otherwise(clock)
-    stamp = F.concat_ws(" ", F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), F.lpad(clock, 8, "0"))
-    return F.when(year.isNotNull(), F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss"))).cast("timestamp_ntz")
+    Either shape is written anew as year, month, day and clock; what then is no such stamp is no date."""
+    text = F.regexp_replace(strip_note(value), f"{SWAPPED}.*$", "$3-$2-$1 $4")
+    text = F.regexp_replace(F.regexp_replace(text, f"{MONTH_FIRST}.*$", "$3-$1-$2 $4"), f"{YEAR_FIRST}.*$", "$1-$2-$3 $4")
+    stamp = F.trim(F.regexp_replace(text, "^([0-9]{2})-", "20$1-"))
+    return F.try_to_timestamp(stamp, F.lit("yyyy-M-d[ H:m[:s]]")).cast("timestamp_ntz")
 
 
 def to_iso(value: Column) -> Column:
     """ISO 8601, with the time if there is one; other text comes back unchanged."""
-    at = parse(value)
-    day = F.date_format(at, "yyyy-MM-dd")
-    return F.coalesce(F.when(F.date_format(at, "HH:mm:ss") == "00:00:00", day).otherwise(F.concat(day, F.lit("T"), F.date_format(at, "HH:mm:ss"))), strip_note(value))
+    at = F.date_format(parse(value), "yyyy-MM-dd'T'HH:mm:ss")
+    return F.coalesce(F.regexp_replace(at, "T00:00:00$", ""), strip_note(value))
 
 
 def sort_key(value: Column) -> Column:

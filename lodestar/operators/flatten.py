@@ -1,24 +1,24 @@
 """Feed rows to (fields, lists): every scalar under a stable name, every list as uniform items.
 
-The feed has no schema, so a row is flattened as a whole, partition by partition (mapInPandas over its JSON
-text). What each known list keeps is a table of paths, not code: LISTS.
+The feed has no schema, so a row is parsed once into a variant and taken apart relationally: its members become rows,
+an object's details rows of their own, a list's elements too, and aggregates put fields and lists together again. What
+each known list keeps is a table of paths: LISTS. An object is a date, a person, or a value with details around it.
 """
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-from datetime import datetime
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions.dates import to_iso
+
 #: Names that carry no meaning outside the feed, and where an object's display value stands.
-NOISE = frozenset(("id", "investigation_id", "case_id", "staff_department_id"))
+NOISE = ("id", "investigation_id", "case_id", "staff_department_id")
 DISPLAY = ("Name", "name", "Description", "description")
-DATE_NAME = re.compile(r"(^|_)dates?($|_)")
+DATE_NAME = r"(^|_)dates?($|_)"
+DATE_PARTS = ("date", "isNa")
+PERSON = ("Staff First Name", "Staff Last Name")
+PERSON_MORE = {"Staff Title": "title", "Email": "email", "Phone Number": "phone"}
 
 #: list -> (attributes as (name, kind, path), identity, what must be there). Kinds: text, raw, date, flag, person.
 LISTS = {
@@ -32,143 +32,152 @@ LISTS = {
     "unfair_import_orders": ([("title", "text", "Order Title")], ("title",), ("title",)),
     **{name: ([("name", "text", "Name")], ("name",), ("name",)) for name in ("investigation_categories", "countries", "requestor")},
 }
-#: How a list's items are called, where it is not by their first attribute.
-LABELS = {
-    "intellectual_property": lambda x: " ".join(str(v) for v in (x.get("type"), x.get("number")) if v),
-    "associated_litigation": lambda x: " ".join(str(v) for v in (x.get("court"), x.get("case_number")) if v) + (f": {x['case_name']}" if x.get("case_name") else ""),
-}
 
+TEXTS = "map<string,string>"
+ITEMS = f"array<{TEXTS}>"
 
-def slug(label: object) -> str:
-    split = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", str(label or "").replace(".", ""))
-    return re.sub(r"[^a-z0-9]+", "_", split.lower()).strip("_")
-
-
-def iso(value: object) -> str | None:
-    """The feed's dates: month first, or year first; other text as it is."""
-    text = str("" if value is None else value).partition("  (")[0].strip()
-    for shape, order in ((r"(\d{4})[-/](\d{1,2})[-/](\d{1,2})", (0, 1, 2)), (r"(\d{1,2})[-/](\d{1,2})[-/](\d{2,4})", (2, 0, 1))):
-        if m := re.match(shape + r"(?:[ T](\d{1,2}):(\d{2})(?::(\d{2}))?)?", text):
-            y, mo, d = (int(m[i + 1]) for i in order)
-            if order[0] and mo > 12 >= d:
-                mo, d = d, mo
-            try:
-                at = datetime(y + 2000 * (y < 100), mo, d, *(int(x or 0) for x in m.groups()[3:]))
-            except ValueError:
-                return text
-            return at.strftime("%Y-%m-%d" if (at.hour, at.minute, at.second) == (0, 0, 0) else "%Y-%m-%dT%H:%M:%S")
-    return text or None
-
-
-def _clean(value: object, name: str = "") -> object:
-    if not isinstance(value, str):
-        return value
-    return (iso(value) if DATE_NAME.search(name) else value.strip()) or None
-
-
-def _at(item: object, path: str) -> object:
-    for step in path.split("/"):
-        item = item.get(step) if isinstance(item, dict) else None
-    return item
-
-
-def _person(value: object) -> str | None:
-    if not isinstance(value, dict):
-        return None
-    return " ".join(str(value[k]).strip() for k in ("Staff First Name", "Staff Last Name") if value.get(k)) or (value.get("Name") and str(value["Name"])) or None
-
-
-def _object(name: str, value: dict) -> dict:
-    """An object's fields: a date, a person, or a display value with its other scalars."""
-    if set(value) <= {"date", "isNa"}:
-        day = iso(value.get("date"))
-        return {name: day[:10] if day else "N/A" if value.get("isNa") else None}
-    if {"Staff Last Name", "Staff First Name"} & set(value):
-        extra = {f"{name}_{k}": _clean(value[label]) for label, k in (("Staff Title", "title"), ("Email", "email"), ("Phone Number", "phone")) if value.get(label)}
-        return {name: _person(value), **extra}
-    plain = {k: v for k, v in value.items() if not isinstance(v, (dict, list))}
-    shown = next((value[k] for k in DISPLAY if k in value), next((v for k, v in plain.items() if slug(k) == name), None))
-    out = {name: _clean(shown, name)}
-    for k, v in plain.items():
-        child = slug(k)
-        if child not in NOISE and not child.endswith("_id") and child != name and child not in DISPLAY:
-            out.setdefault(f"{name}_{child}", _clean(v, f"{name}_{child}"))
-    return out
 
+def slug(label: Column) -> Column:
+    parted = F.regexp_replace(F.replace(label, F.lit(".")), r"(?<=[a-z0-9])(?=[A-Z])", "_")
+    return F.regexp_replace(F.regexp_replace(F.lower(parted), r"[^a-z0-9]+", "_"), "^_|_$", "")
 
-def _scalars(item: object, drop: frozenset[str] = frozenset()) -> dict:
-    out: dict = {}
-    for label, value in item.items() if isinstance(item, dict) else ():
-        name = slug(label)
-        if isinstance(value, dict) and name not in drop:
-            for k, v in _object(name, value).items():
-                out.setdefault(k, v) if k != name else out.update({k: v})
-        elif not isinstance(value, list) and name not in drop:
-            out[name] = _clean(value, name)
-    return {k: v for k, v in out.items() if v is not None}
-
-
-def _items(name: str, values: list) -> list[dict]:
-    if name not in LISTS:
-        found = [_scalars(v, NOISE) if isinstance(v, dict) else {"label": str(v)} for v in values if v is not None]
-        for x in found:
-            label = next((x[k] for k in ("name", "title", "number") if x.get(k)), next((v for v in x.values() if isinstance(v, str)), None))
-            if label is not None:
-                x["label"] = str(label)
-        return [x for x in found if x]
-    attributes, identity, needed = LISTS[name]
-    seen, out = set(), []
-    for v in values:
-        if not isinstance(v, dict):
-            v = {"Name": v} if needed == ("name",) and attributes[0][2] == "Name" else None
-        if v is None:
-            continue
-        x: dict = {}
-        for attribute, kind, path in attributes:
-            raw = _at(v, path)
-            x[attribute] = {"text": lambda r: str(r or "").strip() or None, "raw": lambda r: r, "date": iso, "flag": bool, "person": _person}[kind](raw)
-        key = tuple(str(x.get(k) or "").strip().lower() for k in identity)
-        if (needed and not any(x.get(k) for k in needed)) or key in seen:
-            continue
-        seen.add(key)
-        label = LABELS[name](x) if name in LABELS else str(x[identity[0]])
-        out.append({"label": label, **{k: y for k, y in x.items() if y not in (None, "")}})
-    return out
+
+def _members(value: Column) -> Column:
+    """An object's members as a map; null for what is no object."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def _elements(value: Column) -> Column:
+    """A list's elements; null for what is no list."""
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def _string(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "string")
 
 
-def flatten_row(row: dict) -> tuple[dict, dict[str, list[dict]]]:
-    fields: dict = {}
-    lists = {}
-    for label, value in row.items():
-        if isinstance(value, list):
-            if items := _items(slug(label), value):
-                lists[slug(label)] = items
-        else:
-            fields.update(_scalars({label: value}))
-    return fields, lists
+def _text(value: Column) -> Column:
+    return F.nullif(F.trim(_string(value)), F.lit(""))
 
 
-def _text(value: object) -> str:
-    return value if isinstance(value, str) else json.dumps(value)
+def _person(members: Column) -> Column:
+    full = F.concat_ws(" ", *[_text(F.element_at(members, k)) for k in PERSON])
+    return F.coalesce(F.nullif(full, F.lit("")), _text(F.element_at(members, "Name")))
+
+
+def _members_of(rows: DataFrame, keys: list[str], objects: Column, drop: tuple[str, ...] = ()) -> DataFrame:
+    """keys, pos, name, value, elements: the members of each row's object."""
+    each = rows.select(*keys, F.posexplode(F.map_entries(objects)).alias("pos", "e"))
+    named = each.select(*keys, "pos", slug(F.col("e.key")).alias("name"), F.col("e.value").alias("value"), _elements(F.col("e.value")).alias("elements"))
+    return named.filter(~F.col("name").isin(*drop)) if drop else named
+
+
+def _fields(members: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, fields: the scalars among members, as a map. Of values with one name the last member's own stays, else the
+    first detail's."""
+    inner = F.col("inner")
+    rows = members.filter("elements IS NULL").withColumn("inner", _members(F.col("value")))
+    names = F.map_keys(inner)
+    rows = rows.withColumn("is_date", F.coalesce(F.size(F.array_except(names, F.array(*map(F.lit, DATE_PARTS)))) == 0, F.lit(False)) & inner.isNotNull())
+    rows = rows.withColumn("is_person", F.coalesce(F.arrays_overlap(names, F.array(*map(F.lit, PERSON))), F.lit(False)))
+    plain = F.transform(F.filter(F.map_entries(inner), lambda m: _members(m["value"]).isNull() & _elements(m["value"]).isNull()), lambda m: F.struct(slug(m["key"]).alias("child"), m["value"].alias("value")))
+    of_person = F.array(*[F.struct(F.lit(short).alias("child"), F.element_at(inner, k).alias("value")) for k, short in PERSON_MORE.items()])
+    rows = rows.withColumn("plain", plain)
+    shown = F.coalesce(*[F.element_at(inner, k) for k in DISPLAY], F.get(F.filter("plain", lambda m: m["child"] == F.col("name")), 0)["value"])
+    text = F.when(F.col("is_date"), _string(F.element_at(inner, "date"))).when(F.col("is_person"), _person(inner)).when(inner.isNotNull(), _text(shown)).otherwise(_text(F.col("value")))
+    rows = rows.withColumn("text", text)
+    nothing = F.when(F.col("is_date") & F.try_variant_get(F.element_at(inner, "isNa"), "$", "boolean"), "N/A")
+    own = F.when(F.col("is_date"), F.coalesce(F.substring(to_iso(F.col("text")), 1, 10), nothing)).when(F.col("name").rlike(DATE_NAME) & ~F.col("is_person"), to_iso(F.col("text"))).otherwise(F.col("text"))
+    details = F.filter("plain", lambda m: ~m["child"].isin(*NOISE, *DISPLAY) & ~F.endswith(m["child"], F.lit("_id")) & (m["child"] != F.col("name")))
+    children = F.when(F.col("is_person"), of_person).when(~F.col("is_date"), details)
+    pairs = rows.select(*keys, "pos", "name", own.alias("own"), F.posexplode_outer(children).alias("at", "c"))
+    both = pairs.select(*keys, "pos", F.coalesce("at", F.lit(0)).alias("at"), F.inline(F.array(
+        F.struct(F.lit(True).alias("itself"), F.col("name"), F.col("own").alias("text")),
+        F.struct(F.lit(False).alias("itself"), F.concat(F.col("name"), F.lit("_"), F.col("c.child")).alias("name"), _text(F.col("c.value")).alias("text")))))
+    dated = F.when(~F.col("itself") & F.col("name").rlike(DATE_NAME), to_iso(F.col("text"))).otherwise(F.col("text"))
+    told = both.withColumn("text", dated).filter("text IS NOT NULL AND name IS NOT NULL")
+    turn = F.when(F.col("itself"), F.struct(F.lit(1).alias("own"), F.col("pos").alias("p"), F.col("at").alias("a"))).otherwise(F.struct(F.lit(0).alias("own"), (-F.col("pos")).alias("p"), (-F.col("at")).alias("a")))
+    one = told.groupBy(*keys, "name").agg(F.max_by("text", turn).alias("text"))
+    return one.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("fields"))  # the members of one object
+
+
+def _attribute(kind: str, path: str) -> Column:
+    """An attribute's text, dates as they are written."""
+    item, at = F.col("item"), "$" + "".join(f"['{step}']" for step in path.split("/"))
+    text = F.try_variant_get(item, at, "string")
+    if kind == "flag":
+        return F.coalesce(F.try_variant_get(item, at, "boolean"), F.coalesce(text, F.lit("")) != "").cast("string")
+    if kind == "person":
+        return _person(F.try_variant_get(item, at, "map<string,variant>"))
+    return F.nullif(text if kind == "raw" else F.trim(text), F.lit(""))
+
+
+def _by_list(make) -> Column:
+    """An expression by the name of the known list that a row belongs to."""
+    out = None
+    for name, spec in LISTS.items():
+        out = (F.when if out is None else out.when)(F.col("name") == name, make(name, *spec))
+    return out
 
 
-SCHEMA = "number string, fields map<string,string>, lists map<string,array<map<string,string>>>"
+def _label(name: str, identity: tuple[str, ...]) -> Column:
+    x = lambda k: F.element_at("x", k)
+    if name == "intellectual_property":
+        return F.concat_ws(" ", x("type"), x("number"))
+    if name == "associated_litigation":
+        return F.concat(F.concat_ws(" ", x("court"), x("case_number")), F.coalesce(F.concat(F.lit(": "), x("case_name")), F.lit("")))
+    return x(identity[0])
+
+
+def _known(elements: DataFrame) -> DataFrame:
+    """The items of known lists: the first of each identity, without those that lack what must be there."""
+    is_object = _members(F.col("item")).isNotNull()
+
+    def read(name, attributes, identity, needed):
+        whole = F.create_map(*[y for a, kind, path in attributes for y in (F.lit(a), _attribute(kind, path))])
+        if needed == ("name",) and attributes[0][2] == "Name":
+            return F.when(is_object, whole).otherwise(F.create_map(F.lit("name"), _text(F.col("item"))))
+        return F.when(is_object, whole)
+
+    rows = elements.withColumn("x", _by_list(read)).filter("x IS NOT NULL")
+    rows = rows.withColumn("x", F.transform_values("x", lambda k, v: F.when(F.endswith(k, F.lit("_date")), to_iso(v)).otherwise(v)))
+    lacks = _by_list(lambda name, attributes, identity, needed: F.coalesce(*[F.element_at("x", k) for k in needed]).isNull() if needed else F.lit(False))
+    key = _by_list(lambda name, attributes, identity, needed: F.concat_ws("\u0001", *[F.lower(F.trim(F.coalesce(F.element_at("x", k), F.lit("")))) for k in identity]))
+    rows = rows.filter(~lacks).withColumn("key", key)
+    rows = rows.withColumn("label", _by_list(lambda name, attributes, identity, needed: _label(name, identity)))
+    kept = F.map_filter("x", lambda _, v: v.isNotNull())
+    place = F.struct("pos", "at")
+    first = rows.select("k", "name", "key", place.alias("place"), F.map_concat(F.create_map(F.lit("label"), "label"), kept).alias("x"))
+    return first.groupBy("k", "name", "key").agg(F.min("place").alias("place"), F.min_by("x", "place").alias("x")).drop("key")
+
+
+def _other(elements: DataFrame) -> DataFrame:
+    """The items of other lists: an object's scalars with a label, or the value as a label."""
+    keys, place = ["k", "name", "pos", "at"], F.struct("pos", "at").alias("place")
+    inside = elements.withColumn("o", _members(F.col("item")))
+    plain = inside.filter("o IS NULL").select("k", "name", place, F.create_map(F.lit("label"), _string(F.col("item"))).alias("x")).filter("x['label'] IS NOT NULL")
+    renamed = ["k", "list", "lpos", "lat"]
+    members = _members_of(inside.filter("o IS NOT NULL").select(*[F.col(a).alias(b) for a, b in zip(keys, renamed)], "o"), renamed, F.col("o"), NOISE)
+    fields = _fields(members, renamed)
+    label = F.coalesce(*[F.element_at("fields", k) for k in ("name", "title", "number")], F.get(F.map_values("fields"), 0))
+    labelled = F.map_concat(F.map_filter("fields", lambda k, _: k != "label"), F.create_map(F.lit("label"), label))
+    return plain.unionByName(fields.select("k", F.col("list").alias("name"), F.struct(F.col("lpos").alias("pos"), F.col("lat").alias("at")).alias("place"), labelled.alias("x")))
 
 
 def flatten(rows: DataFrame, raw: str = "row") -> DataFrame:
-    """rows: one JSON text a row -> number, fields, lists. Rows that are no JSON object, or have no number, go."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text in batch["row"]:
-                try:
-                    row = json.loads(text) if text else None
-                except ValueError:
-                    row = None
-                if isinstance(row, dict) and str(row.get("Investigation Number") or "").strip():
-                    fields, lists = flatten_row(row)
-                    out.append((str(row["Investigation Number"]).strip(), {k: _text(v) for k, v in fields.items()}, {k: [{a: _text(b) for a, b in x.items()} for x in v] for k, v in lists.items()}))
-            yield pd.DataFrame(out, columns=["number", "fields", "lists"])
-
-    return rows.select(F.col(raw).cast("string").alias("row")).mapInPandas(run, SCHEMA)
+    """rows: one JSON text a row -> number, fields (map), lists (map of arrays of maps). Rows that are no JSON object, or
+    have no number, go; a row that is there several times stays several times."""
+    text = F.col(raw).cast("string")
+    parsed = rows.select(F.md5(text).alias("k"), _members(F.try_parse_json(text)).alias("m")).filter("m IS NOT NULL")
+    numbered = parsed.withColumn("number", F.trim(_string(F.element_at("m", "Investigation Number")))).filter("number <> ''")
+    times = numbered.groupBy("k", "number").agg(F.count(F.lit(1)).alias("times"))
+    members = _members_of(numbered, ["k"], F.col("m"))
+    listed = members.filter("elements IS NOT NULL").select("k", "name", "pos", F.posexplode("elements").alias("at", "item"))
+    known = F.col("name").isin(*LISTS)
+    items = _known(listed.filter(known)).unionByName(_other(listed.filter(~known)))
+    held = items.groupBy("k", "name", "place").agg(F.min_by("x", "place").alias("x"))  # rows that are there several times
+    gathered = held.groupBy("k", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.map_entries("x").alias("x")))), lambda y: F.map_from_entries(y["x"])).alias("items"))
+    lists = gathered.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("name", "items"))).alias("lists"))
+    both = times.join(_fields(members, ["k"]), "k", "left").join(lists, "k", "left")
+    out = both.select("number", F.coalesce("fields", F.create_map().cast(TEXTS)).alias("fields"), F.coalesce("lists", F.create_map().cast(f"map<string,{ITEMS}>")).alias("lists"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("n"))
+    return out.drop("n")

@@ -12,10 +12,19 @@ NOT_A_COMPLAINT = r"(?i)\bappendi(x|ces)\b|patent\s+papers|file\s+histor|certifi
 AMENDED, SUPPLEMENT = r"(?i)\bamended\s+complaint\b", r"(?i)\bsupplement"
 INSTITUTION = r"(?i)notice\s+of\s+institution|institution\s+of\s+(the\s+)?investigation"
 REPRINT = r"(?i)^\s*f\.\s*r\.\s"
-SD, PROCEDURAL = r"(?i)summary\s+determination", r"(?i)extension|extend|\btime\b|\bleave\b|schedul|strike|\bbrief|page\s+limit|to\s+file|to\s+respond|oral\s+argument"
-DENIAL = r"(?i)^\W*(order\s+no\.?\s*\d+\s*:?\s*)?(initial\s+determ\w*\s+|id\s+)?(denying|dismissing)\b"
-DECISION = r"(?i)final\s+determination|issuance\s+of\s+(an?\s+)?(limited|general)|finding\s+(a\s+|no\s+)?violation"
-HOUSEKEEPING = r"(?i)\bextend|target\s+date|deadline|redact|public\s+version|schedul"
+SD = r"(?i)summary\s+determination"
+SD_MOTION = r"(?i)motions?\s+for\s+(?:a\s+)?(?:partial\s+)?summary\s+determination"
+RULING_VERB = r"(?i)\b(?:granting|denying|dismissing)\b"
+PROCEDURAL = r"(?i)extension|extend|\btime\b|\bleave\b|schedul|strike|\bbrief|page\s+limit|to\s+file|to\s+respond|oral\s+argument|withdraw\s+(?:its|the|their)\s+motion"
+DENIAL = r"(?i)^\W*(?:\(\d+\)\s*)?(?:\[?corrected\]?\s*)?(?:public\s+version\s*)?(?:order\s+no\.?\s*\d+\s*:?\s*)?(?:initial\s+determ\w*\s+|id\s+)?(?:denying|dismissing)\b"
+VARIANT = r"(?i)\[?\bcorrected\b\]?|\bpublic\s+version\b|\(public\)|order\s+no\.?\s*\d+\s*:?"
+NOT_FINAL_ID = r"(?i)^\s*recommended\s+determination|\benforcement\b|\badvisory\b|\bmodification\b"
+DECISION = r"(?i)final\s+determination|issuance\s+of\s+(?:an?\s+)?(?:limited|general)|finding\s+(?:a\s+|no\s+)?violation|termination\s+of\s+the\s+investigation\s+with"
+MERITS = r"(?i)final\s+initial|summary\s+determination|violation|remand"
+HOUSEKEEPING = r"(?i)\bextend|target\s+date|deadline|declassif|redact|public\s+version|investigative\s+attorney|schedul"
+ANSWER = r"(?i)\b(?:response|answer)\b"
+NOT_AN_ANSWER = r"(?i)\bexhibit|\bappendi|\bverification\b|certificate\s+of\s+service|\bletter\b|public\s+interest|\bdeclaration\b|\bconfidential\b|\berrata\b"
+VERSION_DAYS = 45
 SECTIONS = ("complaint", "answers", "rulings", "decisions")
 
 
@@ -33,6 +42,18 @@ def answer_groups(answers: DataFrame) -> DataFrame:
     return components(answers.select(node.alias("node")), edges)
 
 
+def latest_versions(documents: DataFrame, days: int = VERSION_DAYS) -> DataFrame:
+    """The latest of each document's versions: documents of a case with one title, but for what marks a version, whose
+    days follow each other by at most so many."""
+    bare = F.trim(F.regexp_replace(F.lower(F.regexp_replace("title", VARIANT, " ")), r"\s+", " "))
+    rows = documents.withColumn("bare", bare)
+    by = Window.partitionBy("case_id", "bare").orderBy("day", "id")
+    fresh = F.coalesce((F.datediff("day", F.lag("day").over(by)) > days).cast("int"), F.lit(1))
+    runs = rows.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.row_number().over(Window.partitionBy("case_id", "bare", "run").orderBy(F.desc("day"), F.desc("id")))
+    return runs.withColumn("last", last).filter("last = 1").select(documents.columns)
+
+
 def selection(documents: DataFrame, most_answers: int = 5, most_rulings: int = 10) -> DataFrame:
     """documents: case_id, id, document_type, title, security_level, day, firm, on_behalf_of -> what is read and what is
     left, by section: the latest amended complaint or the first, the notice of institution, the latest answer of each
@@ -48,22 +69,19 @@ def selection(documents: DataFrame, most_answers: int = 5, most_rulings: int = 1
     parts = [_first(main, [F.desc(amended), F.when(amended, F.unix_date("day")).desc_nulls_last(), *age], F.col("place") == 1, "complaint", "complaint"), _first(body.filter(title.rlike(SUPPLEMENT)), age, F.lit(False), "complaint", "supplement")]
     parts.append(_first(of("Notice").filter(title.rlike(INSTITUTION) & ~title.rlike(REPRINT)), age, F.col("place") == 1, "complaint", "notice_of_institution").filter("read"))
 
-    answers = of("Answer to Complaint")
+    answers = of("Answer to Complaint").filter(title.rlike(ANSWER) & ~title.rlike(NOT_AN_ANSWER))
     grouped = answers.withColumn("node", F.concat_ws("|", "case_id", "id")).join(answer_groups(answers), "node")
     best = F.max_by(F.struct("id", "day"), F.struct(~title.rlike(SUPPLEMENT), F.col("day"), F.col("id")))
     groups = grouped.groupBy("case_id", "component").agg(best.alias("x"), F.min("day").alias("first")).select("case_id", "x.id", "x.day", "first")
     parts.append(_first(groups, [F.col("first"), F.col("id")], F.col("place") <= most_answers, "answers", "answer"))
 
-    rulings = of("Order", "ID/RD - Other Than Final on Violation").filter(title.rlike(SD) & ~title.rlike(PROCEDURAL))
-    bare = F.trim(F.regexp_replace(F.lower("title"), r"\[?\bcorrected\b\]?|\bpublic\s+version\b|\(public\)|order\s+no\.?\s*\d+\s*:?", " "))
-    gap = F.datediff("day", F.lag("day").over(Window.partitionBy("case_id", bare).orderBy(*age)))
-    run = F.sum(F.coalesce((gap > 45).cast("int"), F.lit(1))).over(Window.partitionBy("case_id", "bare").orderBy(*age).rowsBetween(Window.unboundedPreceding, 0))
-    latest = rulings.withColumn("bare", bare).withColumn("run", run).withColumn("n", F.row_number().over(Window.partitionBy("case_id", "bare", "run").orderBy(*newest))).filter("n = 1")
-    parts.append(_first(latest, [title.rlike(DENIAL), *newest], F.col("place") <= most_rulings, "rulings", "ruling"))
-    parts.append(_first(of("ID/RD - Final on Violation"), newest, F.col("place") == 1, "decisions", "final_id"))
+    granted = (F.col("document_type") != "Order") | (title.rlike(SD_MOTION) & title.rlike(RULING_VERB))
+    rulings = latest_versions(of("Order", "ID/RD - Other Than Final on Violation").filter(title.rlike(SD) & ~title.rlike(PROCEDURAL) & granted))
+    parts.append(_first(rulings, [title.rlike(DENIAL), *newest], F.col("place") <= most_rulings, "rulings", "ruling"))
+    parts.append(_first(latest_versions(of("ID/RD - Final on Violation").filter(~title.rlike(NOT_FINAL_ID))), newest, F.col("place") == 1, "decisions", "final_id"))
     notices = of("Notice").filter(~title.rlike(REPRINT) & ~title.rlike(HOUSEKEEPING) & title.rlike("(?i)commission") & ~title.rlike(r"(?i)\bnot\s+to\s+review\b"))
-    parts.append(_first(notices.filter(title.rlike(DECISION) | (title.rlike(r"(?i)\bto\s+review\b") & title.rlike(r"(?i)final\s+initial|summary\s+determination|violation|remand"))), age, F.lit(True), "decisions", "commission_notice"))
-    parts.append(_first(of("Opinion, Commission"), newest, F.col("place") <= 2, "decisions", "commission_opinion"))
+    parts.append(_first(notices.filter(title.rlike(DECISION) | (title.rlike(r"(?i)\bto\s+review\b") & title.rlike(MERITS))), age, F.lit(True), "decisions", "commission_notice"))
+    parts.append(_first(latest_versions(of("Opinion, Commission")), newest, F.col("place") <= 2, "decisions", "commission_opinion"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions.claims import sentences_udf
-from lodestar.functions.names import company_key_udf, firm_key_udf, person_udf
-from lodestar.operators import bundle, cases, docket, evidence, fields, matrix, resolve, summary
+from lodestar.functions.claims import sentences
+from lodestar.functions.names import company_key, firm_key, person
+from lodestar.operators import bundle, cases, counsel, docket, evidence, fields, matrix, resolve, summary
 from lodestar.operators.calendar import business_days, period_end
 from lodestar.operators.flatten import flatten
 from lodestar.operators.graph import scratch
@@ -64,7 +64,7 @@ def _spellings(spark, sf_dir):
 def firm_keys(spark, sf_dir):
     """Distinct spellings and their keys."""
     ship(spark)
-    return _spellings(spark, sf_dir).select("spelling").distinct().withColumn("firm_key", firm_key_udf("spelling")).withColumn("company_key", company_key_udf("spelling"))
+    return _spellings(spark, sf_dir).select("spelling").distinct().withColumn("firm_key", firm_key(F.col("spelling"))).withColumn("company_key", company_key(F.col("spelling")))
 
 
 frame_query("firm_keys", firm_keys)
@@ -73,7 +73,7 @@ frame_query("firm_keys", firm_keys)
 def similar_firm_pairs(spark, sf_dir):
     """Pairs of firm keys with an Indel ratio of 85 or more."""
     ship(spark)
-    keys = _spellings(spark, sf_dir).select("spelling").distinct().withColumn("key", firm_key_udf("spelling"))
+    keys = _spellings(spark, sf_dir).select("spelling").distinct().withColumn("key", firm_key(F.col("spelling")))
     return resolve.candidate_pairs(keys).withColumn("ratio", F.round("ratio", 6))
 
 
@@ -93,7 +93,7 @@ frame_query("firm_entities", firm_entities)
 def person_names(spark, sf_dir):
     ship(spark)
     n = table(spark, sf_dir, "part").select(F.initcap("p_name").alias("name")).distinct()
-    return n.withColumn("p", person_udf("name")).select("name", F.col("p.first").alias("first"), F.array_join("p.middles", " ").alias("middles"), F.col("p.last").alias("last"))
+    return n.withColumn("p", person(F.col("name"))).select("name", F.col("p.first").alias("first"), F.array_join("p.middles", " ").alias("middles"), F.col("p.last").alias("last"))
 
 
 frame_query("person_names", person_names, """
@@ -107,14 +107,18 @@ def _claim_events(spark, sf_dir):
     stage = F.when(F.col("l_returnflag") == "N", "instituted").when(F.col("l_linestatus") == "O", "final_id").otherwise("hearing")
     key = F.xxhash64("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_extendedprice")
     return l.select(F.col("l_suppkey").cast("string").alias("case_id"), key.cast("string").alias("id"), F.pmod(key, F.lit(1 << 30)).cast("int").alias("ord"), action.alias("action"), stage.alias("stage"), F.lit("tribunal_ruling").alias("speaker"), F.concat(F.lit("p"), F.col("l_orderkey") % 3).alias("patent"),
-                    F.array((F.col("l_partkey") % 20).cast("int")).alias("claims"), F.array(F.lit("ALL")).alias("respondents"), F.lit("ok").alias("status"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.lit(None).cast("string").alias("effective_date"), F.lit(None).cast("string").alias("sentence"), F.lit(False).alias("case_wide"))
+                    F.array((F.col("l_partkey") % 20).cast("int")).alias("claims"), F.array(F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("R"), F.col("l_orderkey") % 2)).otherwise("ALL")).alias("respondents"), F.lit("ok").alias("status"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.lit(None).cast("string").alias("effective_date"), F.lit(None).cast("string").alias("sentence"), F.lit(False).alias("case_wide"))
+
+
+def _respondents(spark, sf_dir):
+    """Two respondents a case; every third line of an order names one of them."""
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("case_id"), F.array(F.lit("R0"), F.lit("R1")).alias("respondents"))
 
 
 def claims_matrix(spark, sf_dir):
     """Claims by stage after all events, a supplier's lines the events of a case."""
     ship(spark)
-    none = spark.createDataFrame([], "case_id string, respondents array<string>")
-    return matrix.wide(matrix.matrix(_claim_events(spark, sf_dir), none))
+    return matrix.wide(matrix.matrix(_claim_events(spark, sf_dir), _respondents(spark, sf_dir)))
 
 
 frame_query("claims_matrix", claims_matrix)
@@ -122,8 +126,7 @@ frame_query("claims_matrix", claims_matrix)
 
 def claims_matrix_counts(spark, sf_dir):
     ship(spark)
-    none = spark.createDataFrame([], "case_id string, respondents array<string>")
-    return matrix.counts(matrix.matrix(_claim_events(spark, sf_dir), none))
+    return matrix.counts(matrix.matrix(_claim_events(spark, sf_dir), _respondents(spark, sf_dir)))
 
 
 frame_query("claims_matrix_counts", claims_matrix_counts)
@@ -138,36 +141,159 @@ def claim_contradictions(spark, sf_dir):
 frame_query("claim_contradictions", claim_contradictions)
 
 
+#: What each kind of event stands for on a docket: the document's type and title.
+FILINGS = {
+    "view": ("Notice", "Determination Not to Review an Initial Determination Terminating the Investigation as to Certain Respondents"),
+    "click": ("Order", "Order Staying the Case for Ten Days"),
+    "purchase": ("Order", "Order Lifting the Stay"),
+    "signup": ("ID/RD - Other Than Final on Violation", "Initial Determination Terminating the Investigation as to Acme Based on Settlement"),
+    "error": ("Order", "Order Extending the Target Date"),
+}
+
+
 def _filings(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    title = F.element_at(F.create_map(*[F.lit(x) for kv in {"view": "Notice of Determination Not to Review", "click": "Order Staying the Procedural Schedule for Five Days", "purchase": "Order Lifting the Stay", "signup": "Initial Determination Terminating the Investigation as to Acme based on settlement", "error": "Motion for Extension of Time"}.items() for x in kv]), F.col("event_type"))
-    return e.select(F.col("user_id").cast("string").alias("case_id"), F.format_string("%09d", "event_id").alias("id"), title.alias("title"), F.col("ts").cast("date").alias("day"), (F.col("event_id") % 2 == 0).alias("public"))
+    of = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in FILINGS.items() for x in (k, v[i])]), F.col("event_type"))
+    return e.select(F.col("user_id").cast("string").alias("case_id"), F.format_string("%09d", "event_id").alias("id"), of(0).alias("document_type"), of(1).alias("title"), F.col("ts").cast("date").alias("day"), (F.col("event_id") % 2 == 0).alias("public"))
+
+
+_EVENTS = "f AS (SELECT CAST(user_id AS STRING) AS case_id, printf('%09d', event_id) AS id, CAST(ts AS DATE) AS day, event_type, event_id % 2 = 0 AS public FROM events)"
 
 
 def case_history(spark, sf_dir):
     """Events of each case's docket, versions of one event together."""
     ship(spark)
-    return docket.versions(_filings(spark, sf_dir)).select("case_id", "kind", F.date_format("day", "yyyy-MM-dd").alias("day"), "first_id", "link", F.size("versions").alias("versions"))
+    return docket.versions(_filings(spark, sf_dir)).select("case_id", "kind", F.date_format("day", "yyyy-MM-dd").alias("day"), "first_id", "link", "versions")
 
 
-frame_query("case_history", case_history)
+frame_query("case_history", case_history, f"""
+WITH RECURSIVE {_EVENTS},
+e AS (SELECT *, CASE event_type WHEN 'view' THEN 'not_reviewed' ELSE 'termination' END AS kind FROM f WHERE event_type IN ('view', 'signup') AND day IS NOT NULL),
+r(case_id, kind, first) AS (SELECT case_id, kind, min(day) FROM e GROUP BY case_id, kind
+  UNION ALL SELECT r.case_id, r.kind, min(e.day) FROM r JOIN e ON e.case_id = r.case_id AND e.kind = r.kind AND e.day > r.first + 60 GROUP BY r.case_id, r.kind, r.first),
+m AS (SELECT e.*, r.first FROM e JOIN r ON r.case_id = e.case_id AND r.kind = e.kind AND e.day BETWEEN r.first AND r.first + 60)
+SELECT case_id, kind, strftime(min(day), '%Y-%m-%d') AS day, split_part(min(strftime(day, '%Y-%m-%d') || '|' || id), '|', 2) AS first_id,
+  coalesce(split_part(max(CASE WHEN public THEN strftime(day, '%Y-%m-%d') || '|' || id END), '|', 2), split_part(min(strftime(day, '%Y-%m-%d') || '|' || id), '|', 2)) AS link, CAST(count(*) AS BIGINT) AS versions
+FROM m GROUP BY case_id, kind, first""")
 
 
 def stays_now(spark, sf_dir):
     return docket.whole_stays(_filings(spark, sf_dir), "2024-01-20").select("case_id", F.date_format("since", "yyyy-MM-dd").alias("since"), F.date_format("until", "yyyy-MM-dd").alias("until"), "extended", "active", "ended")
 
 
-frame_query("stays_now", stays_now)
+frame_query("stays_now", stays_now, f"""
+WITH {_EVENTS},
+s AS (SELECT case_id, day FROM f WHERE event_type = 'click' AND day IS NOT NULL), l AS (SELECT case_id, day FROM f WHERE event_type = 'purchase' AND day IS NOT NULL),
+t AS (SELECT case_id, max(day) AS latest FROM s GROUP BY case_id),
+b AS (SELECT t.case_id, t.latest, max(CASE WHEN l.day <= t.latest THEN l.day END) AS before, coalesce(max(CASE WHEN l.day >= t.latest THEN 1 ELSE 0 END), 0) = 1 AS lifted FROM t LEFT JOIN l ON l.case_id = t.case_id GROUP BY t.case_id, t.latest),
+r AS (SELECT b.*, s.day FROM b JOIN s ON s.case_id = b.case_id AND (b.before IS NULL OR s.day >= b.before)),
+x AS (SELECT case_id, min(day) AS since, latest + 10 AS until, count(*) > 1 AS extended, CASE WHEN lifted THEN 'lifted' WHEN latest + 10 < DATE '2024-01-20' THEN concat('ran to ', strftime(latest + 10, '%Y-%m-%d')) END AS ended FROM r GROUP BY case_id, latest, lifted)
+SELECT case_id, strftime(since, '%Y-%m-%d') AS since, strftime(until, '%Y-%m-%d') AS until, extended, ended IS NULL AS active, ended FROM x""")
 
 
 def final_exits(spark, sf_dir):
-    return docket.final_exits(_filings(spark, sf_dir)).select("case_id", "id", "who", F.date_format("day", "yyyy-MM-dd").alias("day"), "final")
+    """Who left each case, and whether that is final."""
+    return docket.final_exits(_filings(spark, sf_dir)).select("case_id", "id", "who", "how", F.date_format("day", "yyyy-MM-dd").alias("day"), "final")
+
+
+frame_query("final_exits", final_exits, f"""
+WITH {_EVENTS},
+t AS (SELECT case_id, id, day, row_number() OVER (PARTITION BY case_id ORDER BY day, id) AS n FROM f WHERE event_type = 'signup' AND day IS NOT NULL)
+SELECT t.case_id, t.id, 'Acme' AS who, 'terminated' AS how, strftime(t.day, '%Y-%m-%d') AS day, count(v.id) > 0 AS final
+FROM t LEFT JOIN f v ON v.case_id = t.case_id AND v.event_type = 'view' AND v.day - t.day BETWEEN 0 AND 90 WHERE t.n = 1 GROUP BY t.case_id, t.id, t.day""")
+
+
+def schedule_readings(spark, sf_dir):
+    """Documents that set a case's dates: here the latest public order that moves the target date."""
+    return docket.schedule_documents(_filings(spark, sf_dir)).select("case_id", "id", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+frame_query("schedule_readings", schedule_readings, f"""
+WITH {_EVENTS}
+SELECT case_id, id, strftime(day, '%Y-%m-%d') AS day FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY day DESC, id DESC) AS n FROM f WHERE event_type = 'error' AND public AND day IS NOT NULL) x WHERE n = 1""")
+
+
+def latest_versions(spark, sf_dir):
+    """The latest of the versions of each title of a case, 45 days apart at most."""
+    return summary.latest_versions(_filings(spark, sf_dir)).select("case_id", "id", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+frame_query("latest_versions", latest_versions, f"""
+WITH {_EVENTS},
+g AS (SELECT *, CASE WHEN day - lag(day) OVER w <= 45 THEN 0 ELSE 1 END AS fresh FROM f WINDOW w AS (PARTITION BY case_id, event_type ORDER BY day, id)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY case_id, event_type ORDER BY day, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM g)
+SELECT case_id, id, strftime(day, '%Y-%m-%d') AS day FROM (SELECT *, row_number() OVER (PARTITION BY case_id, event_type, run ORDER BY day DESC, id DESC) AS n FROM r) x WHERE n = 1""")
+
+
+def _counsel(spark, sf_dir):
+    """Lines as filings: a supplier files for the order's customer, who is the complainant."""
+    l, o, c, s = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
+    name = F.concat(F.lit("Client "), F.regexp_replace("c_name", "#", " "), F.lit(", Inc."))
+    firm = F.concat(F.regexp_replace("s_name", "#", " "), F.when(F.col("l_linenumber") % 2 == 0, " LLP").otherwise(" & Associates, P.C."))
+    rows = l.join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, l.l_suppkey == s.s_suppkey)
+    docs = rows.select(
+        F.col("o_orderkey").cast("string").alias("case_id"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").cast("string").alias("id"), F.col("l_linenumber").cast("int").alias("ord"), F.when(F.col("l_returnflag") == "N", "Notice of Appearance").otherwise("Motion").alias("title"),
+        F.concat(F.lit("Ann "), F.lit("No"), F.col("l_partkey")).alias("filed_by"), name.alias("on_behalf_of"), firm.alias("firm"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"),
+    )
+    parties = o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").cast("string").alias("case_id"), name.alias("name"), F.lit("Complainant").alias("role"))
+    return docs, parties
+
+
+def attorney_entities(spark, sf_dir):
+    """Attorneys, named by parts with initials here and there, merged within and across firms."""
+    ship(spark)
+    p, l = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    words = F.split("p_name", " ")
+    name = F.initcap(F.concat_ws(" ", F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.substring(F.get(words, 0), 1, 1), F.lit("."))).otherwise(F.get(words, 0)), F.when(F.col("l_linenumber") % 4 == 0, F.substring("p_brand", 1, 1)), F.get(words, 1)))
+    seen = l.join(p, l.l_partkey == p.p_partkey).select(name.alias("spelling"), F.col("l_orderkey").cast("string").alias("case_id"), F.col("l_suppkey").cast("string").alias("firm"), F.col("l_orderkey").alias("ord"))
+    ents, _ = resolve.resolve_attorneys(spark, seen)
+    return ents.select("id", "name", F.size("spellings").alias("spellings"), "cases")
+
+
+frame_query("attorney_entities", attorney_entities)
+
+
+def company_entities(spark, sf_dir):
+    """Companies, named by parts with forms, former names and a dropped letter here and there, merged."""
+    ship(spark)
+    p, l = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    bare = F.initcap(F.concat_ws(" ", "p_name", F.lower("p_type")))
+    spelled = F.element_at(F.array(F.concat(bare, F.lit(" Inc.")), F.concat(F.upper(bare), F.lit(", Incorporated")), F.concat(F.regexp_replace(bare, "dget", "gdet"), F.lit(" Inc.")), F.concat(bare, F.lit(" Holdings LLC f/k/a "), bare, F.lit(" Inc."))), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    seen = l.join(p, l.l_partkey == p.p_partkey).select(spelled.alias("spelling"), F.col("l_orderkey").cast("string").alias("case_id"), F.col("l_orderkey").alias("ord"))
+    ents, _ = resolve.resolve_companies(spark, seen)
+    return ents.select("id", "name", F.size("spellings").alias("spellings"), "cases")
+
+
+frame_query("company_entities", company_entities)
+
+
+def firm_kinds(spark, sf_dir):
+    """Kind of filer of each supplier, by its name and the customers it acts for."""
+    s, l, o, c = (table(spark, sf_dir, t) for t in ("supplier", "lineitem", "orders", "customer"))
+    named = F.concat(F.lit("Number "), F.regexp_extract("s_name", "([0-9]+)", 1), F.element_at(F.array(*map(F.lit, (" & Partners LLP", " Goods Inc.", " Institute", " Bureau"))), (F.col("s_suppkey") % 4 + 1).cast("int")))
+    firms = s.select(F.col("s_suppkey").cast("string").alias("id"), named.alias("name"), F.array(named).alias("spellings"))
+    parties = l.join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).select(F.col("l_suppkey").cast("string").alias("firm"), F.concat(F.col("c_mktsegment"), F.lit(" Corp.")).alias("name")).distinct()
+    return resolve.kinds(firms, parties)
+
+
+frame_query("firm_kinds", firm_kinds, """
+SELECT CAST(s_suppkey AS STRING) AS id, CASE s_suppkey % 4 WHEN 0 THEN 'law_firm' WHEN 1 THEN 'company' WHEN 2 THEN 'organization' ELSE 'government' END AS kind FROM supplier""")
+
+
+def representations(spark, sf_dir):
+    """Who acts for whom in each case."""
+    ship(spark)
+    reps, _ = counsel.representations(*_counsel(spark, sf_dir))
+    return reps.select("case_id", "firm_key", "first_filed", "last_filed", "filings", "appeared", F.array_join("parties.name", "; ").alias("parties"), F.size("attorneys").alias("attorneys"))
 
 
-frame_query("final_exits", final_exits, """
-WITH f AS (SELECT CAST(user_id AS STRING) AS case_id, printf('%09d', event_id) AS id, CAST(ts AS DATE) AS day, event_type FROM events)
-SELECT t.case_id, t.id, 'Acme' AS who, strftime(t.day, '%Y-%m-%d') AS day, count(n.id) > 0 AS final FROM f t LEFT JOIN f n ON n.case_id = t.case_id AND n.event_type = 'view' AND n.day - t.day BETWEEN 0 AND 90
-WHERE t.event_type = 'signup' GROUP BY t.case_id, t.id, t.day""")
+frame_query("representations", representations, """
+WITH r AS (SELECT CAST(l_orderkey AS STRING) AS case_id, lower(replace(s_name, '#', ' ')) || CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE ' associates' END AS firm_key, strftime(l_shipdate, '%Y-%m-%d') AS day,
+    concat_ws('|', l_linenumber, l_partkey, l_suppkey) AS id, l_returnflag = 'N' AS appears, l_partkey AS person, concat('Client ', replace(c_name, '#', ' '), ', Inc.') AS party
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey),
+f AS (SELECT case_id, firm_key, min(day) AS first_filed, max(day) AS last_filed, CAST(count(DISTINCT id) AS BIGINT) AS filings, bool_or(appears) AS appeared, any_value(party) AS parties, CAST(count(DISTINCT person) AS INT) AS attorneys FROM r GROUP BY case_id, firm_key),
+own AS (SELECT DISTINCT p.case_id, p.firm_key FROM r p WHERE NOT EXISTS (SELECT 1 FROM r o JOIN f ON f.case_id = o.case_id AND f.firm_key = o.firm_key AND f.appeared WHERE o.case_id = p.case_id AND o.person = p.person AND o.firm_key <> p.firm_key))
+SELECT f.* FROM f WHERE f.appeared OR EXISTS (SELECT 1 FROM own WHERE own.case_id = f.case_id AND own.firm_key = f.firm_key)""")
 
 
 def rule_periods(spark, sf_dir):
@@ -193,7 +319,7 @@ FROM days x JOIN nxt n ON n.d = x.day + 1 JOIN o b ON b.d = n.s JOIN o e ON e.k
 
 def sentences_of_documents(spark, sf_dir):
     ship(spark)
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(sentences_udf("text")).alias("sentences"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(sentences(F.col("text"))).alias("sentences"))
 
 
 frame_query("sentences_of_documents", sentences_of_documents)

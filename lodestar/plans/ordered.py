@@ -13,12 +13,11 @@ DAY = "DATE '2001-08-02'"
 sql_query("finality_within_90_days", "orders lineitem", """
 WITH term AS (SELECT l_orderkey AS k, l_suppkey AS firm, CAST(l_shipdate AS DATE) AS d, l_linenumber AS n, l_partkey AS p FROM lineitem WHERE l_returnflag = 'R'),
 notice AS (SELECT DISTINCT l_orderkey AS k, CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE l_returnflag = 'N')
-SELECT t.k AS case_id, t.firm, t.n AS line, t.p AS part, @iso(t.d) AS day, EXISTS (SELECT 1 FROM notice x WHERE x.k = t.k AND @days(t.d, x.d) BETWEEN 0 AND 90) AS final FROM term t""".replace(
-    "EXISTS (SELECT 1 FROM notice x WHERE x.k = t.k AND @days(t.d, x.d) BETWEEN 0 AND 90) AS final FROM term t",
-    "coalesce(max(CASE WHEN @days(t.d, x.d) BETWEEN 0 AND 90 THEN 1 ELSE 0 END), 0) = 1 AS final FROM term t LEFT JOIN notice x ON x.k = t.k GROUP BY t.k, t.firm, t.n, t.p, t.d"))
+SELECT t.k AS case_id, t.firm, t.n AS line, t.p AS part, @iso(t.d) AS day, coalesce(max(CASE WHEN @days(t.d, x.d) BETWEEN 0 AND 90 THEN 1 ELSE 0 END), 0) = 1 AS final
+FROM term t LEFT JOIN notice x ON x.k = t.k GROUP BY t.k, t.firm, t.n, t.p, t.d""")
 sql_query("version_dedupe_45d", "lineitem", """
 WITH v AS (SELECT DISTINCT l_suppkey AS firm, l_returnflag AS title, CAST(l_shipdate AS DATE) AS d FROM lineitem),
-g AS (SELECT firm, title, d, CASE WHEN lag(d) OVER (PARTITION BY firm, title ORDER BY d) IS NULL OR @days(lag(d) OVER (PARTITION BY firm, title ORDER BY d), d) > 3 THEN 1 ELSE 0 END AS fresh FROM v),
+g AS (SELECT firm, title, d, CASE WHEN lag(d) OVER (PARTITION BY firm, title ORDER BY d) IS NULL OR @days(lag(d) OVER (PARTITION BY firm, title ORDER BY d), d) > 45 THEN 1 ELSE 0 END AS fresh FROM v),
 s AS (SELECT firm, title, d, sum(fresh) OVER (PARTITION BY firm, title ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS event FROM g)
 SELECT firm, title, CAST(event AS BIGINT) AS event, @iso(min(d)) AS day, @iso(max(d)) AS latest, CAST(count(*) AS BIGINT) AS versions FROM s GROUP BY firm, title, event""")
 sql_query("effective_date_asof", "orders lineitem", """

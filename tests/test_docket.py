@@ -1,5 +1,8 @@
 import datetime as dt
 
+import pytest
+from pyspark.sql import functions as F
+
 from lodestar.operators import docket, matrix
 from lodestar.operators.calendar import business_days
 
@@ -56,38 +59,78 @@ def test_unreviewed_terminations_additions_and_case_wide(spark):
     assert {r.commission for r in matrix.wide(cells).filter(f"view = 'ALL' AND patent = '{ONE}'").collect()} == {"no_violation"}
 
 
-DOC = "case_id string, id string, title string, day date, public boolean"
+DOC = "case_id string, id string, document_type string, title string, day date, public boolean"
+ORDER, NOTICE, ID, FINAL = "Order", "Notice", "ID/RD - Other Than Final on Violation", "ID/RD - Final on Violation"
 
 
 def docs(spark, rows):
-    return spark.createDataFrame([("c", str(i), t, D(d), p) for i, (t, d, p) in enumerate(rows)], DOC)
+    return spark.createDataFrame([("c", f"{i:02}", k, t, D(d), p) for i, (k, t, d, p) in enumerate(rows)], DOC)
+
+
+@pytest.mark.parametrize("kind, title, want", [
+    (NOTICE, "Notice of Institution of Investigation", "institution"), (NOTICE, "F. R. Notice of Institution", None), (NOTICE, "Notice of Issuance of Initial Determination on Violation", "final_id"), (NOTICE, "Errata to Initial Determination on Violation", None),
+    (NOTICE, "Extending the Target Date", None), (ID, "Granting Summary Determination and Staying", "summary_determination"), (ID, "Terminating the Investigation", "termination"), (ID, "Finding Acme in Default", "default"), (ID, "Remand Initial Determination", "remand_id"),
+    (FINAL, "Initial Determination", "final_id"), (FINAL, "Recommended Determination", None), (NOTICE, "Determination Not to Review an ID Terminating", "not_reviewed"), (NOTICE, "Determination Not to Review Order 5", None), (NOTICE, "Determination to Review a Final Initial Determination", "review"),
+    (NOTICE, "Final Determination of No Violation", "determination"), ("Order, Commission", "Limited Exclusion Order", "order"), ("Order, Commission", "Protective Order", None), ("Opinion, Commission", "Opinion", "opinion"), (ORDER, "Terminating", None),
+])
+def test_kinds(spark, kind, title, want):
+    df = spark.createDataFrame([(title, kind)], "t string, k string")
+    assert df.select(docket.kind_of(F.col("t"), F.col("k"))).first()[0] == want
 
 
 def test_versions(spark):
     got = docket.versions(docs(spark, [
-        ("Notice of Institution of Investigation", "2025-11-24", True), ("Initial Determination Terminating the Investigation", "2026-07-22", False), ("Initial Determination Terminating the Investigation (Public Version)", "2026-08-06", True),
-        ("Determination Not to Review", "2026-08-21", True), ("Motion for extension of time to stay", "2026-08-22", True), ("Initial Determination Terminating the Investigation", "2027-07-22", True),
+        (NOTICE, "Notice of Institution of Investigation", "2025-11-24", True), (ID, "Initial Determination Terminating the Investigation", "2026-07-22", False), (ID, "Initial Determination Terminating the Investigation (Public Version)", "2026-08-06", True),
+        (NOTICE, "Determination Not to Review an ID Terminating", "2026-08-21", True), (NOTICE, "Motion for extension of time to stay", "2026-08-22", True), (ID, "Initial Determination Terminating the Investigation", "2027-07-22", True),
+        (ID, "Initial Determination Terminatng the Investigation", "2027-08-01", False), (NOTICE, "Notice of Initial Determination on Violation", "2028-01-01", True), (FINAL, "Final ID", "2028-02-01", False), (FINAL, "Another name", "2028-04-01", True), (FINAL, "Far later", "2028-05-01", True),
     ])).orderBy("day").collect()
-    assert [(r.day.isoformat(), r.kind, len(r.versions)) for r in got] == [("2025-11-24", "institution", 1), ("2026-07-22", "termination", 2), ("2026-08-21", "not_reviewed", 1), ("2027-07-22", "termination", 1)]
-    assert got[1].link == "2"
+    assert [(r.day.isoformat(), r.kind, r.versions, r.first_id, r.link) for r in got] == [
+        ("2025-11-24", "institution", 1, "00", "00"), ("2026-07-22", "termination", 2, "01", "02"), ("2026-08-21", "not_reviewed", 1, "03", "03"), ("2027-07-22", "termination", 2, "05", "05"), ("2028-01-01", "final_id", 3, "07", "09"), ("2028-05-01", "final_id", 1, "10", "10"),
+    ]
+
+
+def test_runs_are_anchored_at_their_first_day(spark):
+    days = [D("2026-01-01") + dt.timedelta(i) for i in (0, 30, 60, 61, 90, 200)]
+    got = docket.anchored(spark.createDataFrame([("g", d) for d in days], "g string, day date"), ["g"], F.lit(60)).orderBy("day").collect()
+    assert [(r.day - r.first_day).days for r in got] == [0, 30, 60, 0, 29, 0]
 
 
 def test_stays(spark):
-    d = docs(spark, [("Order Staying the Procedural Schedule", "2026-08-25", True), ("Order Extending Stay until September 30, 2026", "2026-09-10", True)])
+    d = docs(spark, [(ORDER, "Order Staying the Procedural Schedule", "2026-08-25", True), (ORDER, "Order Extending Stay until September 30, 2026", "2026-09-10", True)])
     now, later = (docket.whole_stays(d, t).first() for t in ("2026-09-25", "2026-10-05"))
     assert (now.since, now.until, now.extended, now.active) == (D("2026-08-25"), D("2026-09-30"), True, True)
     assert not later.active and later.ended == "ran to 2026-09-30"
-    days = docket.whole_stays(docs(spark, [("Order Staying the Case for Fourteen Days", "2026-09-20", True)]), "2026-09-25").first()
+    days = docket.whole_stays(docs(spark, [(ORDER, "Order Staying the Case for Fourteen Days", "2026-09-20", True)]), "2026-09-25").first()
     assert days.until == D("2026-10-04")
-    lifted = docket.whole_stays(docs(spark, [("Staying", "2026-01-01", True), ("Order lifting the stay", "2026-02-01", True), ("Staying again", "2026-03-01", True)]), "2026-04-01").first()
+    lifted = docket.whole_stays(docs(spark, [(ORDER, "Staying", "2026-01-01", True), (ORDER, "Order lifting the stay", "2026-02-01", True), (ORDER, "Staying again", "2026-03-01", True)]), "2026-04-01").first()
     assert (lifted.since, lifted.active) == (D("2026-03-01"), True)
-    part = docket.partial_stays(docs(spark, [("Stay as to HP until January 1, 2026", "2025-06-01", True), ("Stay as to HP", "2025-09-03", True), ("Stay with respect to the Samsung respondents", "2026-09-24", True)]), "2026-09-25").orderBy("since").collect()
-    assert [(r.who, r.since) for r in part] == [("HP", D("2025-09-03")), ("the Samsung respondents", D("2026-09-24"))]
+    again = docket.whole_stays(docs(spark, [(ORDER, "Staying the case", "2026-01-01", True), (ORDER, "Setting the Procedural Schedule", "2026-02-01", True), (ORDER, "Denying motion to stay", "2026-03-01", True), ("Motion", "Stay", "2026-04-01", True)]), "2026-04-01").first()
+    assert (again.active, again.ended) == (False, "a later order set the schedule again")
+    some = docs(spark, [(ORDER, "Stay as to HP until January 1, 2026", "2025-06-01", True), (ORDER, "Stay as to HP", "2025-09-03", True), (ORDER, "Stay with respect to the Northwind respondents", "2026-09-24", True)])
+    part = docket.partial_stays(some, "2026-09-25").orderBy("since").collect()
+    assert [(r.who, r.since) for r in part] == [("HP", D("2025-09-03")), ("the Northwind respondents", D("2026-09-24"))]
+    gone = spark.createDataFrame([("c", "HP Inc")], "case_id string, who string")
+    assert [r.who for r in docket.partial_stays(some, "2026-09-25", gone).collect()] == ["the Northwind respondents"]
 
 
 def test_final_exits(spark):
-    got = docket.final_exits(docs(spark, [("ID Terminating the Investigation as to Unicorn based on settlement", "2026-01-01", True), ("Notice of Determination Not to Review", "2026-02-01", True), ("ID Terminating the Investigation as to Linksys", "2026-03-01", True)]))
-    assert {(r.who, r.final) for r in got.collect()} == {("Unicorn", True), ("Linksys", False)}
+    got = docket.final_exits(docs(spark, [
+        (ID, "Terminating the Investigation as to Unicorn based on settlement", "2026-01-01", True), (NOTICE, "Determination Not to Review an ID Terminating the Investigation as to Certain Respondents", "2026-02-01", True), (ID, "Terminating the Investigation as to Linkway; Order", "2026-03-01", True),
+        (ID, "Terminating the Investigation as to Claims 1-3", "2026-03-02", True), (ID, "Finding respondent Harbor Ltd in Default", "2026-03-03", True), (ID, "Denying motion terminating the investigation as to Nobody", "2026-03-04", True),
+    ]))
+    assert {(r.who, r.how, r.final) for r in got.collect()} == {("Unicorn", "terminated", True), ("Linkway", "terminated", False), ("Harbor Ltd", "in default", False)}
+    events = spark.createDataFrame([("c", "Deposition of Unicorn witness", "order"), ("c", "Unicorn hearing", "case data"), ("c", "Opening brief", "order")], "case_id string, label string, basis string")
+    assert {r.label for r in docket.without_exited(events, got).collect()} == {"Unicorn hearing", "Opening brief"}
+
+
+def test_schedules(spark):
+    d = docs(spark, [(ORDER, "Setting the Procedural Schedule", "2026-01-01", True), (ORDER, "Extending the Target Date", "2026-01-05", True), (ORDER, "Amended Procedural Schedule", "2026-03-01", True), (ORDER, "Target date moved", "2026-04-01", True), (ORDER, "Seeking joint proposed procedural schedule", "2026-05-01", True), (ORDER, "Ground Rules", "2026-06-01", False)])
+    assert [r.id for r in docket.schedule_documents(d).orderBy("day").collect()] == ["02", "03"]
+    since = spark.createDataFrame([("c", D("2026-03-15"))], "case_id string, since date")
+    assert [r.id for r in docket.schedule_documents(d, since).collect()] == ["03"]
+    have = spark.createDataFrame([("c", "Target date (final)", D("2027-01-01")), ("c", "Evidentiary hearing", D("2026-09-01"))], "case_id string, label string, date date")
+    plan = spark.createDataFrame([("c", "Target date", "target_date", D("2027-02-01")), ("c", "Evidentiary hearing begins", "hearing", D("2026-09-02")), ("c", "Pre-hearing brief before the evidentiary hearing", "hearing", D("2026-08-01")), ("c", "Opening", "briefs", D("2026-07-01"))], "case_id string, event string, category string, date date")
+    assert {(r.label, r.basis) for r in docket.with_schedule(have, plan).collect()} == {("Target date (final)", "case data"), ("Evidentiary hearing", "case data"), ("Pre-hearing brief before the evidentiary hearing", "order"), ("Opening", "order")}
 
 
 def test_overlay_and_upcoming(spark):

@@ -34,8 +34,8 @@ def test_snapshots(spark, tmp_path):
     (tmp_path / "snap" / "other.txt").write_text("x")
     assert len(snapshots.names(spark, folder)) == 4 and snapshots.latest(spark, folder, "2026-09-23").endswith("T020000Z.json.gz")
     flat = flatten(snapshots.rows(spark, folder, name))
-    assert {r.number for r in flat.collect()} == {"337-1478", "999-1"}
-    assert [r.number for r in snapshots.in_category(flat, "337 - Unfair Imports", "337-").collect()] == ["337-1478"]
+    assert {r.number for r in flat.collect()} == {"337-5120", "999-1"}
+    assert [r.number for r in snapshots.in_category(flat, "Imports", "337-").collect()] == ["337-5120"]
     assert len(snapshots.prune(spark, folder, 2)) == 1 and snapshots.prune(spark, folder, 0) == []
     with pytest.raises(snapshots.BadSnapshot):
         snapshots.store(spark, folder, b"[]")
