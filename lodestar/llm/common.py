@@ -13,11 +13,13 @@ from lodestar.session import ship
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share.
 
-    The setting is read from the session; only where none is set (tests on one machine) a local
-    temporary folder takes its place.
+    The setting is read from the session; only where none is set on one machine (tests) does a local temporary
+    folder take its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="lodestar-")

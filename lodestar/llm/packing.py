@@ -119,8 +119,10 @@ class Packer:
                 item[2] = start + stays
                 if whole:
                     self._hold(item)
+        changed = {id(item) for (item, _, length, _), stays in zip(taken, kept, strict=True) if stays < length}
         for i, item in enumerate(self.items):
-            self.size[i] = self._demand(item)
+            if id(item) in changed:
+                self.size[i] = self._demand(item)
         return [(item, start, stays, whole) for (item, start, _, whole), stays in zip(taken, kept, strict=True) if stays]
 
     def _fill(self, last: bool) -> Iterator[tuple]:
