@@ -22,7 +22,7 @@ from lodestar.operators import cases, fields
 from lodestar.operators.flatten import flatten
 from lodestar.plans.registry import QUERIES
 from lodestar.session import ship
-from lodestar.sinks.tables import append_log, swap
+from lodestar.sinks.tables import append_log, load, swap
 from lodestar.sources import snapshots
 
 
@@ -33,11 +33,10 @@ def parse(spark: SparkSession, folder: str, out: str, allow: bool = False) -> di
         raise SystemExit("no snapshot stored")
     ship(spark)
     new = cases.fold(flatten(snapshots.rows(spark, folder, name)), snapshots.NAME.match(name)[1])
-    fs = spark._jvm.org.apache.hadoop.fs.Path(out).getFileSystem(spark._jsc.hadoopConfiguration())
     report = {"snapshot": name, "removed": 0, "error": None}
     try:
-        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{out}/cases")):
-            old = spark.read.schema(new.schema).parquet(f"{out}/cases")
+        old = load(spark, f"{out}/cases", new.schema)
+        if old is not None:
             report["removed"] = cases.check_removals(old, new, allow)[0]
             new = cases.carry_withdrawn(old, new)
         swap(new, f"{out}/cases")

@@ -13,6 +13,7 @@ from lodestar.operators.flatten import flatten
 from lodestar.operators.graph import scratch
 from lodestar.plans.registry import frame_query
 from lodestar.session import ship, table
+from lodestar.sinks import tables
 from lodestar.streaming import incremental
 
 
@@ -365,7 +366,7 @@ def streamed_users(spark, sf_dir):
     src = table(spark, sf_dir, "events").select("user_id", "event_type", F.col("event_id").alias("ord"))
     src.write.parquet(f"{at}/in")
     incremental.merge_stream(spark, f"{at}/in", "user_id long, event_type string, ord long", f"{at}/table", "user_id", f"{at}/mark").awaitTermination()
-    return spark.read.schema(src.schema).parquet(f"{at}/table")
+    return tables.load_buckets(spark, f"{at}/table", src.schema)
 
 
 frame_query("streamed_users", streamed_users, """

@@ -2,28 +2,83 @@
 
 from __future__ import annotations
 
-import uuid
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The column by which swap_buckets() lays out its files.
+BUCKET = "in_bucket"
+
 
 def _fs(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
+def _versions(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
+    """Numbers of a table's versions, and of those that were written to the end, newest first."""
+    fs, at = _fs(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    found = sorted((int(n[1:]) for n in names if re.fullmatch("v[0-9]+", n)), reverse=True)
+    return found, [n for n in found if fs.exists(_fs(spark, f"{path}/v{n}/_SUCCESS")[1])]
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    fs, at = _fs(spark, folder)
+    fs.delete(at, True)
+
+
 def swap(df: DataFrame, path: str) -> None:
-    """Write beside the table, then put it in its place: a failure leaves the last good one."""
+    """Write the table's next version, which load() takes up with its success marker: a failure at any point leaves
+    the last good one. One version before it is kept for those who still read it. One writer at a time."""
     spark = df.sparkSession
-    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
-    fs, at = _fs(spark, path)
-    old = spark._jvm.org.apache.hadoop.fs.Path(fresh + ".old")
-    if fs.exists(at):
-        fs.rename(at, old)
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(fresh), at)
-    fs.delete(old, True)
+    new = max(_versions(spark, path)[0], default=0) + 1
+    df.write.parquet(f"{path}/v{new}")
+    found, complete = _versions(spark, path)
+    for n in found:
+        if n < new and n not in complete[:2]:
+            _delete(spark, f"{path}/v{n}")
+
+
+def load(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
+    """The version that swap() last wrote to the end; None if there is none."""
+    complete = _versions(spark, path)[1]
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{path}/v{complete[0]}") if complete else None
+
+
+def _bucket_folders(spark: SparkSession, path: str) -> dict[int, list[str]]:
+    """Of each bucket the folders that hold it, newest first."""
+    out: dict[int, list[str]] = {}
+    for n in _versions(spark, path)[1]:
+        fs, at = _fs(spark, f"{path}/v{n}")
+        for name in (s.getPath().getName() for s in fs.listStatus(at)):
+            if name.startswith(f"{BUCKET}="):
+                out.setdefault(int(name.split("=")[1]), []).append(f"{path}/v{n}/{name}")
+    return out
+
+
+def swap_buckets(df: DataFrame, bucket: Column, path: str) -> None:
+    """Write the buckets that df has rows of, each whole, as one version; the others stay as they are. What swap()
+    says of failures and readers holds for each bucket."""
+    spark = df.sparkSession
+    new = max(_versions(spark, path)[0], default=0) + 1
+    df.withColumn(BUCKET, bucket).repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{path}/v{new}")
+    folders = _bucket_folders(spark, path)
+    for old in (f for held in folders.values() for f in held[2:]):
+        _delete(spark, old)
+    live = {f.rsplit("/", 2)[1] for held in folders.values() for f in held[:2]}
+    for n in _versions(spark, path)[0]:
+        if n < new and f"v{n}" not in live:
+            _delete(spark, f"{path}/v{n}")
+
+
+def load_buckets(spark: SparkSession, path: str, schema, buckets: list[int] | None = None) -> DataFrame:
+    """The newest rows of the buckets (all, if none are named); without any the empty table."""
+    held = _bucket_folders(spark, path)
+    folders = [f[0] for b, f in sorted(held.items()) if buckets is None or b in buckets]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
 def fingerprint(df: DataFrame, key: str):

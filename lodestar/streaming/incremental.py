@@ -9,20 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lodestar.sinks.tables import swap
+from lodestar.sinks import tables
 
 
-def merge_stream(spark: SparkSession, folder: str, schema: str, table: str, key: str, checkpoint: str):
-    """New Parquet files of a folder merged into a table by key, newest `ord` wins; runs over what is there, then stops.
-    The checkpoint makes it resume where it stopped, and the swap makes a repeated batch harmless."""
+def merge_stream(spark: SparkSession, folder: str, schema: str, table: str, key: str, checkpoint: str, buckets: int = 64):
+    """New Parquet files of a folder merged into a bucketed table by key; runs over what is there, then stops.
+
+    The newest `ord` wins, of equal ones the row that is largest as JSON. A batch rewrites the buckets its keys fall into
+    and no others; `tables.load_buckets` reads the table, whose number of buckets never changes. The checkpoint makes
+    it resume where it stopped, and a repeated batch changes nothing."""
 
     def batch(df: DataFrame, epoch: int) -> None:
-        fresh = df
-        fs = spark._jvm.org.apache.hadoop.fs.Path(table).getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(table)):
-            fresh = spark.read.schema(df.schema).parquet(table).unionByName(df)
-        others = [c for c in df.columns if c != key]
-        swap(fresh.groupBy(key).agg(F.max_by(F.struct(*others), "ord").alias("r")).select(key, "r.*").select(df.columns), table)
+        bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+        touched = [r.b for r in df.select(bucket.alias("b")).distinct().collect()]  # at most `buckets` rows
+        if touched:
+            others = [c for c in df.columns if c != key]
+            newest = F.struct("ord", F.to_json(F.struct(*others)))
+            both = tables.load_buckets(spark, table, df.schema, touched).unionByName(df)
+            merged = both.groupBy(key).agg(F.max_by(F.struct(*others), newest).alias("r")).select(key, "r.*").select(df.columns)
+            tables.swap_buckets(merged, bucket, table)
 
     stream = spark.readStream.schema(schema).parquet(folder)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

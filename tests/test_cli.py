@@ -4,6 +4,7 @@ import pytest
 
 from lodestar import __main__ as cli
 from lodestar.operators.cases import SuspectSnapshot
+from lodestar.sinks.tables import load
 from lodestar.sources import snapshots
 from tests.support import feed_row
 from tests.test_io import at
@@ -16,11 +17,11 @@ def test_parse_carries_and_refuses(spark, tmp_path, capsys):
     assert cli.parse(spark, folder, out)["removed"] == 0
     store("2026-09-02", 28)
     assert cli.parse(spark, folder, out)["removed"] == 2
-    back = spark.read.parquet(f"{out}/cases")
+    back = load(spark, f"{out}/cases")
     assert back.count() == 30 and back.filter("withdrawn").count() == 2
     store("2026-09-03", 5)
     with pytest.raises(SuspectSnapshot):
         cli.parse(spark, folder, out)
-    assert spark.read.parquet(f"{out}/cases").filter("withdrawn").count() == 2
+    assert load(spark, f"{out}/cases").filter("withdrawn").count() == 2
     assert spark.read.csv(f"{out}/log", header=True).filter("error is not null").count() == 1
     assert cli.main(["queries"]) == 0 and "firm_leaderboard" in capsys.readouterr().out

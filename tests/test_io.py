@@ -86,7 +86,14 @@ def test_sinks(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     for n in (3, 5):
         tables.swap(spark.range(n), path)
-    assert spark.read.parquet(path).count() == 5
+    assert tables.load(spark, path).count() == 5
+    with pytest.raises(Exception):
+        tables.swap(spark.range(2).select(F.raise_error(F.lit("broken")).alias("id")), path)
+    (tmp_path / "t" / "v8").mkdir()  # a version that was never finished
+    assert tables.load(spark, path).count() == 5
+    tables.swap(tables.load(spark, path).union(spark.range(1)), path)
+    assert tables.load(spark, path).count() == 6 and sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v2", "v9"]
+    assert tables.load(spark, path + "-none") is None
     df = spark.createDataFrame([(f"k{i}", i) for i in range(40)], "key string, v int")
     assert len(tables.save_changed(df, None, "key", path + "2")) == 16
     back = lambda: spark.read.parquet(path + "2").select("key", "v")
@@ -109,7 +116,15 @@ def test_merge_stream_resumes(spark, tmp_path):
     for rows in ([("a", 1, 1), ("b", 1, 1)], [("a", 2, 2)], [("c", 3, 3), ("a", 0, 0)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         incremental.merge_stream(spark, src, schema, table, "id", mark).awaitTermination(60)
-    assert {(r.id, r.v) for r in spark.read.parquet(table).collect()} == {("a", 2), ("b", 1), ("c", 3)}
+    got = lambda: {(r.id, r.v) for r in tables.load_buckets(spark, table, schema).collect()}
+    assert got() == {("a", 2), ("b", 1), ("c", 3)}
+    written = {p.name: len(list(p.glob("in_bucket=*"))) for p in (tmp_path / "table").iterdir()}
+    assert max(written, key=lambda n: int(n[1:])) == "v3" and written["v3"] <= 2  # only the buckets of a and c
+    spark.createDataFrame([("a", 7, 2), ("a", 5, 2), (None, 4, None)], schema).coalesce(1).write.mode("append").parquet(src)
+    incremental.merge_stream(spark, src, schema, table, "id", mark).awaitTermination(60)
+    assert got() == {("a", 7), ("b", 1), ("c", 3), (None, 4)}  # of equal ord the largest row
+    incremental.merge_stream(spark, src, schema, table, "id", mark).awaitTermination(60)
+    assert got() == {("a", 7), ("b", 1), ("c", 3), (None, 4)}
 
 
 def test_replay_stream(spark, tmp_path):
