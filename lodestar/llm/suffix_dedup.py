@@ -46,6 +46,7 @@ CHUNK = 1 << 20
 MOST = 1024
 PIECE = 16
 BATCH = 2 << 20
+HOT = 10_000
 NO_ID = -(1 << 63)
 _TABLE = np.random.default_rng(31).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -305,8 +306,12 @@ def repeats(docs: DataFrame, key: str, text: str, length: int = 400, gram: int =
     # one fragment of each class that shares its anchor with others
     some = places.filter("several").groupBy("a", "f").agg(F.sum("c").alias("c"), F.min(F.struct("id", "t")).alias("rep"))
     some = materialize(some, "classes")
-    sizes = some.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
-    wanted = some.join(sizes, "a").groupBy("rep.id", "rep.t").agg(F.collect_list(F.struct("a", "f", "c", "size")).alias("wanted"))
+    sizes = materialize(some.groupBy("a").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    # anchors of more than one in HOT of all classes are fewer than HOT: told to all tasks, so their classes stay put
+    hottest = F.col("size") * HOT > some.count()
+    marked = some.join(F.broadcast(sizes.filter(hottest)), "a", "left")
+    sized = marked.filter("size IS NOT NULL").unionByName(marked.filter("size IS NULL").drop("size").join(sizes.filter(~hottest), "a"))
+    wanted = sized.groupBy("rep.id", "rep.t").agg(F.collect_list(F.struct("a", "f", "c", "size")).alias("wanted"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The wanted fragments' bytes; a document on several rows is read once."""
@@ -368,7 +373,7 @@ def repeats(docs: DataFrame, key: str, text: str, length: int = 400, gram: int =
     pairs = F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.struct((F.get("spans", i) + F.col("s")).alias("lo"), (F.get("spans", i + 1) + F.col("s")).alias("hi")))
     back = cut_pieces.filter("c = 1").select("k", "p", "a", "f", "s").join(of_pieces, ["k", "p"]).select("a", "f", pairs.alias("pairs"))
     spread = back.groupBy("a", "f").agg(F.sort_array(F.flatten(F.collect_list("pairs"))).alias("pairs")).select("a", "f", F.flatten(F.transform("pairs", lambda x: F.array(x["lo"], x["hi"]))).alias("spans"))
-    whole = some.join(sizes.filter(F.col("size") > most), "a").filter("c > 1").select("a", "f", F.array(F.lit(0), F.lit(-1)).alias("spans"))
+    whole = sized.filter((F.col("size") > most) & (F.col("c") > 1)).select("a", "f", F.array(F.lit(0), F.lit(-1)).alias("spans"))
     classes = solved.union(spread).union(whole).filter(F.size("spans") > 0)
 
     mine = places.filter("several").join(classes, ["a", "f"]).select("id", "t", "f", "spans").union(places.filter("not several").select("id", "t", "f", F.array(F.lit(0), F.lit(-1)).alias("spans")))
