@@ -62,6 +62,9 @@ def candidate_pairs(keys: DataFrame, cutoff: float = 85.0, q: int = 2) -> DataFr
     a, b = prefix.select("g", F.col("key").alias("a"), F.col("n").alias("na")), prefix.select("g", F.col("key").alias("b"), F.col("n").alias("nb"))
     near = F.least("na", "nb") * (1 + share) >= F.greatest("na", "nb") * (1 - share)
     met = a.join(b, "g").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    # written down, else the ratio goes below the distinct and is computed once for each gram that two keys share; dealt by
+    # number, as few bytes take much computing here
+    met = settled(met.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b"), "met")
     return met.withColumn("ratio", indel_udf("a", "b")).filter(F.col("ratio") >= cutoff)
 
 
@@ -160,9 +163,16 @@ def short_forms(roots: DataFrame) -> DataFrame:
     return longer.join(names.select(F.col("root").alias("short")), "short").groupBy("short").agg(F.min("long").alias("long"), F.count(F.lit(1)).alias("n")).filter("n = 1").select("short", "long")
 
 
+def spellings_of(seen: DataFrame) -> DataFrame:
+    """The distinct spellings, written down before any key is made of them.
+
+    Else the filter on the key goes below the distinct and into the joins of seen, and the key is made for every row."""
+    return settled(seen.select("spelling").distinct(), "spellings")
+
+
 def keyed_by(seen: DataFrame, key: Column) -> DataFrame:
     """seen with the key of its spelling, computed once for each spelling; rows without a key go."""
-    keys = seen.select("spelling").distinct().withColumn("key", key).filter("key <> ''")
+    keys = settled(spellings_of(seen).withColumn("key", key), "keys").filter("key <> ''")
     return settled(seen.join(keys, "spelling"), "keyed")  # read several times
 
 
@@ -174,8 +184,9 @@ def entities(seen: DataFrame, found: Resolution, prefix: str) -> DataFrame:
     of = seen.join(found.roots, "key")
     per = of.groupBy("root", "spelling").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord"))
     named = per.groupBy("root").agg(F.max_by("spelling", F.struct((F.col("spelling") != F.lower("spelling")).alias("cased"), "n", -F.col("ord"))).alias("name"), F.array_sort(F.collect_set("spelling")).alias("spellings"))
-    held = of.groupBy("root").agg(F.count_distinct("case_id").alias("cases"), F.array_sort(F.collect_set("key")).alias("keys"))
-    both = numbered(named.join(held, "root"), "name", "root")
+    keys = of.select("root", "key").distinct().groupBy("root").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    held = of.groupBy("root").agg(F.count_distinct("case_id").alias("cases"))  # by itself: beside it a set would be kept for each case
+    both = numbered(named.join(held, "root").join(keys, "root"), "name", "root")
     return both.select(F.concat(F.lit(f"{prefix}:"), "slug").alias("id"), "root", "name", "keys", "cases", "spellings")
 
 
@@ -232,9 +243,10 @@ def successions(links: DataFrame, roots: DataFrame) -> DataFrame:
 
 def resolve_companies(spark: SparkSession, seen: DataFrame, decisions: DataFrame | None = None, apart: DataFrame | None = None, given: DataFrame | None = None) -> tuple[DataFrame, Resolution]:
     """Companies merge by key, by a former name, and as typos within one corporate form."""
-    spellings = seen.select("spelling").distinct().withColumn("c", company_names(F.col("spelling")))
-    spellings = settled(spellings.withColumn("key", company_key(F.col("c.primary"))).filter("key <> ''"), "company-names")
-    keyed = settled(seen.join(spellings, "spelling"), "keyed")
+    # each step is written down, else the next takes in its expressions once for each mention
+    named = settled(spellings_of(seen).withColumn("c", company_names(F.col("spelling"))), "company-names")
+    spellings = settled(named.withColumn("key", company_key(F.col("c.primary"))), "company-spellings").filter("key <> ''")
+    keyed = settled(seen.join(spellings.select("spelling", "key"), "spelling"), "keyed")
     nodes = settled(spellings.select("key", company_core(F.col("c.primary")).alias("core"), company_form(F.col("c.primary")).alias("form")).distinct(), "company-keys")
     former = spellings.select("key", F.explode("c.former").alias("f")).withColumn("old", company_key(F.col("f"))).join(nodes.select(F.col("key").alias("old")), "old").filter("old <> key")
     side = lambda c: nodes.select(F.col("key").alias(c), F.col("core").alias(f"core_{c}"), F.col("form").alias(f"form_{c}"))
@@ -272,7 +284,7 @@ def resolve_attorneys(spark: SparkSession, seen: DataFrame, decisions: DataFrame
     where every name of the surname that either first name fits may be both; so do those with equal middle names; any
     other pair is a question. Names of one firm that a typo in the surname sets apart merge."""
     p = F.col("p")
-    spellings = seen.select("spelling").distinct().withColumn("p", person(F.col("spelling"))).filter("p IS NOT NULL")
+    spellings = settled(spellings_of(seen).withColumn("p", person(F.col("spelling"))), "person-names").filter("p IS NOT NULL")
     spellings = spellings.withColumn("key", F.array_join(F.concat(F.array(p["first"]), p["middles"], F.array(p["last"])), " "))
     keyed = settled(seen.join(spellings, "spelling"), "keyed")
     people = settled(keyed.groupBy("key").agg(F.first("p").alias("p"), F.array_sort(F.collect_set("firm")).alias("firms")), "people")

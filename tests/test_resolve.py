@@ -80,6 +80,28 @@ def test_companies_and_decisions(spark):
     assert resolve.settle("company", surer, decided(spark, (q, "same", 0.9)))[0].count() == 0 and resolve.settle("company", surer, decided(spark, (q, "same", 0.96)))[0].count() == 1
 
 
+def test_keys_and_ratios_are_computed_once(spark, monkeypatch):
+    """A key for each spelling, not for each row; a ratio for each pair that meets (twice: it is filtered by and shown)."""
+    keyed, rated, real = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), resolve.company_key
+
+    @F.udf("string")
+    def tally(key):
+        keyed.add(1)
+        return key
+
+    @F.udf("double")
+    def ratio(a, b):
+        rated.add(1)
+        return indel_ratio(a, b)
+
+    monkeypatch.setattr(resolve, "company_key", lambda name: tally(real(name)))
+    monkeypatch.setattr(resolve, "indel_udf", ratio)
+    names = ["Blue Anvil Manufacturing Inc.", "Blue Anvil Manufacturng, Inc.", "Blue Anvil Manufcturing Inc.", "Tidewater Optics Ltd."]
+    ents, _ = resolve.resolve_companies(spark, seen(spark, [(names[i % 4], str(i)) for i in range(400)]))
+    assert sorted(r.cases for r in ents.collect()) == [100, 300]
+    assert 4 <= keyed.value <= 20 and 3 <= rated.value <= 12
+
+
 def test_two_rounds_and_context(spark):
     rows = seen(spark, [("Sams East", "1"), ("Sams West", "2"), ("Beta", "3")])
     asked = []
