@@ -131,3 +131,17 @@ def test_whole_table(spark):
     want = [(d, size[d], sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest()) for d, spans, kept in plain(rows, 400)]
     assert sorted((tuple(r) for r in op1_suffix_dedup(spark, sf).collect()), key=repr) == sorted(want, key=repr)
     assert sum(w[2] for w in want) > 0
+
+
+def test_passages_over_fifty_words_go_by_their_bytes(spark):
+    rnd = random.Random(11)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=rnd.randrange(3, 9))) for _ in range(3000)]
+    prose = lambda n: " ".join(rnd.choices(words, k=n))
+    long, short = prose(90), " ".join(w[:5] for w in rnd.choices(words, k=51))
+    assert len(long) >= 400 and 51 * 4 < len(short) < 396
+    rows = [(i, f"{prose(200)} {(long, short, prose(90))[i % 3]} {prose(200)}") for i in range(60)]
+    got = run(spark, rows, 400)
+    assert got == plain(rows, 400)
+    for i, spans, kept in got:
+        assert bool(spans) == (i % 3 == 0) and long.encode() not in kept
+        assert (short.encode() in kept) == (i % 3 == 1) and (kept == dict(rows)[i].encode() or i % 3 == 0)
